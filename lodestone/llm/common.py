@@ -9,7 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While staged tables are written: shuffle files go when each job ends, and nothing that grows with the input is
+#: broadcast because it happens to be small today.
+STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 _own: list[str] = []
 _staged: list[str] = []
 
@@ -32,14 +38,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each job ends, not at some later garbage collection."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def staging(spark: SparkSession):
+    """The session's settings while a staged table is written."""
+    before = {k: spark.conf.get(k, None) for k in STAGING}
+    for k, v in STAGING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
@@ -48,7 +56,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str]
     This cuts the lineage: a lost executor costs the tasks that ran on it, not the stages before.
     """
     path = fresh_path(spark, name)
-    with shuffle_cleanup(spark):
+    with staging(spark):
         writer = df.write.option("compression", codec)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _staged.append(path)

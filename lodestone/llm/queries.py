@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, quality, simhash
+from lodestone.llm import line_dedup, packing, quality, simhash, substring_dedup
 from lodestone.shipping import ship
 
 
@@ -70,9 +70,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in 50-word windows that a smaller document holds too are removed."""
+    found = substring_dedup.substring_dedup(spark, _table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+low AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM win),
+cover AS (SELECT DISTINCT doc_id, i + o AS j FROM low, (SELECT unnest(range(50)) AS o) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+cut AS (SELECT words.doc_id, x, words.j, cover.j IS NOT NULL AS gone FROM words LEFT JOIN cover ON words.doc_id = cover.doc_id AND words.j = cover.j),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY j) FILTER (NOT gone) AS t FROM cut GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and "_" in k}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
+    return {name: sql for name in queries() if (sql := globals().get(name.split("_")[0].upper() + "_SQL"))}
