@@ -46,8 +46,16 @@ def duck_rows(sql: str, sf_dir: str):
 
 def canonical(frame) -> list[tuple]:
     """Rows with columns in name order and sorted, for a comparison that ignores order."""
+    import pandas as pd
+
+    def plain(x):
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
+            return None
+        x = x.item() if hasattr(x, "item") else x
+        return int(x) if isinstance(x, float) and x.is_integer() else x
+
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if x is None or x != x else (x.item() if hasattr(x, "item") else x) for x in row) for row in frame.itertuples(index=False)), key=repr)
+    return sorted((tuple(map(plain, row)) for row in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.fixture
