@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, packing, quality, simhash, substring_dedup
+from lodestone.llm import line_dedup, media, packing, quality, simhash, substring_dedup, warc
 from lodestone.shipping import ship
 
 
@@ -18,6 +18,11 @@ def _hex_sha256(column):
     return F.sha2(column.cast("binary"), 256)
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as 8-bit media in the chunk store, read back."""
+    return media.media_features(spark, _table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup of documents: 3-word shingles, links at 2 differing bits."""
     found = simhash.simhash_components(spark, _table(spark, sf_dir, "documents"))
@@ -77,6 +82,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return warc.warc_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM d LEFT JOIN k USING (payload_digest)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents in 50-word windows that a smaller document holds too are removed."""
     found = substring_dedup.substring_dedup(spark, _table(spark, sf_dir, "documents"))
