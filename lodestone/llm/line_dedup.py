@@ -62,7 +62,7 @@ def drop_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; NULL text counts as one empty line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row"), F.col("words").alias("_words"))
+    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row"), F.col("words").alias("_words")).hint("merge")
     both = docs.withColumn("_key", F.xxhash64(text)).join(
         maps, (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left"
     )
