@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, media, packing, quality, simhash, substring_dedup, warc
+from lodestone.llm import language_id, line_dedup, media, packing, quality, simhash, substring_dedup, toxicity, warc
+from lodestone.llm.common import crc_mod4
 from lodestone.shipping import ship
 
 
@@ -18,6 +19,13 @@ def _hex_sha256(column):
     return F.sha2(column.cast("binary"), 256)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit_language_id(docs))
+    return found.select(F.col("id").alias("doc_id"), (crc_mod4("id") == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of documents as 8-bit media in the chunk store, read back."""
     return media.media_features(spark, _table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -116,8 +124,17 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(spark, docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score_documents(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return found.select(F.col("id").alias("doc_id"), (crc_mod4("id") == 2).alias("held_out"), "score", predicted, F.size("spans").cast("long").alias("n_spans"))
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and "_" in k}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -245,5 +245,5 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(spark, named, "fp-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = named.join(lowest, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = named.join(lowest.hint("merge"), "root").select("fp", "component")
+    return fps.join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
