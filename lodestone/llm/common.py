@@ -75,9 +75,9 @@ def drop_staged(spark: SparkSession, *tables: DataFrame | str) -> None:
             _staged.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table still staged by this process; call it once their results are written."""
-    drop_staged(spark, *list(_staged))
+def staged() -> list[str]:
+    """Paths of the tables that this process has staged and not deleted."""
+    return list(_staged)
 
 
 def crc_mod4(col: str):

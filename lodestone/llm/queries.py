@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, line_dedup, media, packing, quality, simhash, substring_dedup, toxicity, warc
+from lodestone.llm import language_id, line_dedup, media, packing, quality, simhash, substring_dedup, subwords, toxicity, warc
 from lodestone.llm.common import crc_mod4
 from lodestone.shipping import ship
 
@@ -133,6 +133,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc_mod4("id") == 2).alias("held_out"), "score", predicted, F.size("spans").cast("long").alias("n_spans"))
 
 
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled SentencePiece segmentations of every document, decoded again."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return subwords.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

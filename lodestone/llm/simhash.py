@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_staged, stage, utf8
+from lodestone.llm import words as W
+from lodestone.llm.common import drop_staged, in_bytes, stage, utf8
 
 SEED = 42
 BLOCKS = 5
@@ -81,22 +82,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def as_bytes(fps: np.ndarray) -> np.ndarray:
+    """(n, 8) bytes of 64-bit fingerprints, most significant first."""
+    return fps.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words) bit planes of fingerprints, 64 members to a word."""
+    """(bits, words) planes of fingerprints given as rows of bytes, 64 members to a word."""
     n = -(-len(fps) // 64) * 64
-    padded = np.zeros(n, np.uint64)
+    padded = np.zeros((n, fps.shape[1]), np.uint8)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
-    return np.packbits(np.ascontiguousarray(bits.T).reshape(64, n // 64, 64), axis=2, bitorder="little").reshape(64, n // 64, 8).copy().view("<u8")[:, :, 0]
+    bits = np.ascontiguousarray(np.unpackbits(padded, axis=1).T)
+    return np.packbits(bits.reshape(len(bits), n // 64, 64), axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
 def within(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, member index) of all pairs at most ``radius`` bits apart.
+    """(query index, member index) of all pairs at most ``radius`` bits apart; queries are rows of bytes.
 
     All queries advance plane by plane; each keeps counters per word as bits ``c0, c1, ..`` and ``over`` for
     members beyond the radius.  Words whose members are all beyond it leave the active set.
     """
-    n_words = vertical.shape[1]
+    n_planes, n_words = vertical.shape
+    flips = np.where(np.unpackbits(queries, axis=1), ~np.uint64(0), np.uint64(0)).T
     q, w = (x.ravel() for x in np.meshgrid(np.arange(len(queries)), np.arange(n_words), indexing="ij"))
     tail = np.zeros(n_words, np.uint64)
     if n % 64:
@@ -104,15 +111,14 @@ def within(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> tu
     over = tail[w]
     width = (radius + 1).bit_length()
     count = [np.zeros(len(q), np.uint64) for _ in range(width)]
-    for i in range(64):
-        flip = np.where((queries[q] >> np.uint64(63 - i)) & _ONE, ~np.uint64(0), np.uint64(0))
-        carry = vertical[i][w] ^ flip
+    for i in range(n_planes):
+        carry = vertical[i][w] ^ flips[i][q]
         for c in count:
             c[:], carry = c ^ carry, c & carry
         over |= carry
         excess = np.full(len(q), ~np.uint64(0))
         for j in range(width):
-            excess = excess & count[j] if (radius + 1) >> j & 1 else excess
+            excess &= count[j] if (radius + 1) >> j & 1 else ~count[j]
         over |= excess
         if i >= radius and i % 4 == 3:
             live = over != ~np.uint64(0)
@@ -127,12 +133,12 @@ def within(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> tu
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of a spanning forest of the links among distinct fingerprints, roots smallest."""
+    """Edges (member, root) of a spanning forest of the links among fingerprints (rows of bytes), by position."""
     n = len(fps)
     parent = np.arange(n)
     if n > 1:
         vertical = planes(fps)
-        block = max(1, (1 << 18) // vertical.shape[1])
+        block = max(1, (1 << 16) // vertical.shape[1])
         for i in range(0, n, block):
             a, b = within(fps[i : i + block], vertical, n, radius)
             a = a + i
@@ -148,7 +154,7 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 while not np.array_equal(parent, up := parent[parent]):
                     parent = up
     member = np.flatnonzero(parent != np.arange(n))
-    return fps[member], fps[parent[member]]
+    return member, parent[member]
 
 
 def _linked(radius: int):
@@ -159,14 +165,13 @@ def _linked(radius: int):
             flat = np.asarray(group.values).view(np.uint64)
             small, large = [], []
             for lo, hi in zip(offsets[:-1], offsets[1:]):
-                own = flat[lo:hi]
+                own = np.sort(flat[lo:hi])
                 if hi - lo == 2:
-                    x = int(own[0] ^ own[1])
-                    if x.bit_count() <= radius:
-                        large.append(own.max()), small.append(own.min())
+                    if int(own[0] ^ own[1]).bit_count() <= radius:
+                        large.append(own[1]), small.append(own[0])
                     continue
-                m, r = forest(np.sort(own), radius)
-                large.extend(m), small.extend(r)
+                m, r = forest(as_bytes(own), radius)
+                large.extend(own[m]), small.extend(own[r])
             out = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (large, small)]
             yield pa.RecordBatch.from_arrays(out, names=["a", "b"])
 
@@ -241,9 +246,103 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     least = stage(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "fp-least")
     edges = links(spark, least.select("fp"), radius)
     roots = components(spark, edges)
-    # The root of a fingerprint component is its smallest fingerprint; the id wanted is the smallest document.
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return _labelled(spark, fps, least, edges)
+
+
+def _labelled(spark: SparkSession, fps: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, fp, component) from rows (id, fp), the smallest id of each fp, and edges between fps."""
+    roots = components(spark, edges)
+    # The root of a component is its smallest fingerprint; the id wanted is the smallest of its documents.
+    named = least.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(spark, named, "fp-roots")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component"))
+    lowest = stage(spark, named.groupBy("root").agg(F.min("least").alias("component")), "fp-components")
     by_fp = named.join(lowest.hint("merge"), "root").select("fp", "component")
-    return fps.join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
+    return fps.select("id", "fp").join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
+
+
+#: Near copies: shingle words, fingerprint bits, bands of smallest shingle hashes that name the groups, and tile size.
+NEAR_SHINGLE, NEAR_BITS, BANDS, ROWS, TILE = 5, 256, 10, 3, 512
+_BIT_SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(NEAR_BITS // 64)]
+_MIN_ODDS = [np.uint64((0xD1B54A32D192ED03 * (2 * i + 1) ^ i << 40) % 2**64 | 1) for i in range(BANDS * ROWS)]
+
+
+def near_radius(similarity: float) -> int:
+    """Bits in which fingerprints of texts of a Jaccard similarity differ on average: the angle between their
+    shingle sets, whose cosine is 2 J / (1 + J), as a share of half a turn."""
+    return int(round(NEAR_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def near_sketch(texts: list[bytes], shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the 256-bit SimHash of its set of word shingles (A-Z in lower case), and its band keys.
+
+    Texts of fewer words have one shingle, all their words; texts without words share a zero sketch.
+    """
+    prints = np.zeros((len(texts), NEAR_BITS // 8), np.uint8)
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    buf, at = W.joined([t.lower() for t in texts])
+    start, end = W.spans(buf)
+    h = W.hashes(buf, start, end)
+    first = np.searchsorted(start, at)
+    for i in range(len(texts)):
+        own = h[first[i] : first[i + 1]]
+        if not len(own):
+            continue
+        g = np.unique(W.window_hashes(own, min(shingle, len(own))))
+        total = np.zeros(NEAR_BITS, np.int64)
+        for j in range(0, len(g), 1 << 14):
+            wide = np.stack([W.mix(g[j : j + (1 << 14)] ^ s) for s in _BIT_SALTS], 1)
+            total += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+        prints[i] = np.packbits(2 * total > len(g))
+        least = np.array([(g * odd).min() for odd in _MIN_ODDS], np.uint64).reshape(BANDS, ROWS)
+        keys[i] = W.mix(W.mix(W.mix(least[:, 0]) ^ least[:, 1]) ^ least[:, 2])
+    return prints, keys
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints, keys = [], []
+        for _, texts in in_bytes(utf8(b.column(1)), 1 << 20):
+            p, k = near_sketch(texts)
+            prints += [x.tobytes() for x in p]
+            keys += list(k.view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+
+
+def _near_linked(radius: int):
+    """Rows (fps) to forest edges; fingerprints are binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            large, small = [], []
+            for own in b.column(0).to_pylist():
+                own = sorted(set(own))
+                m, r = forest(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1), radius)
+                large += [own[i] for i in m]
+                small += [own[i] for i in r]
+            yield pa.RecordBatch.from_arrays([pa.array(large, pa.binary()), pa.array(small, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, group_max: int = GROUP_MAX) -> DataFrame:
+    """(id, fp, component): near copies, that is texts whose sets of five-word shingles are about ``similarity`` alike.
+
+    Groups to compare are named by bands of smallest shingle hashes (a pair at 0.8 shares one with probability
+    0.999); inside a group the 256-bit SimHashes of distinct sketches are compared bit-sliced at the radius of
+    ``similarity``.  A larger group is compared as pairs of tiles of about ``TILE`` members, so no task holds it.
+    NULLs, empty texts, repeated ids and empty tables behave as in ``simhash_components``.
+    """
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
+    fps = stage(spark, src.mapInArrow(_sketched, f"id {kind}, fp binary, bands array<long>"), "sketches")
+    least = stage(spark, fps.groupBy("fp").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "sketch-least")
+    rows = stage(spark, least.select("fp", F.posexplode("bands").alias("m", "v")), "sketch-rows")
+    sizes = stage(spark, rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-groups")
+    normal = rows.join(sizes.filter(F.col("n") <= group_max), ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("fps")).select("fps")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    large = rows.join(sizes.filter(F.col("n") > group_max), ["m", "v"]).withColumn("t", F.pmod(F.xxhash64("fp"), tiles).cast("int"))
+    paired = large.withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("lo", F.least("t", "o")).withColumn("hi", F.greatest("t", "o"))
+    paired = paired.groupBy("m", "v", "lo", "hi").agg(F.collect_list("fp").alias("fps")).select("fps")
+    edges = stage(spark, normal.unionAll(paired).mapInArrow(_near_linked(near_radius(similarity)), "a binary, b binary").distinct(), "sketch-links")
+    drop_staged(spark, rows, sizes)
+    return _labelled(spark, fps, least, edges)
