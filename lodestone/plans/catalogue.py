@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import corpus_queries
+from lodestone.plans import corpus_queries, retrieval_queries, selection_queries
 
-_MODULES = (corpus_queries,)
+_MODULES = (corpus_queries, selection_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in _MODULES for k, v in m.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to the DuckDB SQL of the same result."""
-    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    return {k: v for m in _MODULES for k, v in m.query.oracles.items()}
