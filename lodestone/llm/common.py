@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -50,14 +51,14 @@ def staging(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
     This cuts the lineage: a lost executor costs the tasks that ran on it, not the stages before.
     """
     path = fresh_path(spark, name)
     with staging(spark):
-        writer = df.write.option("compression", codec)
+        writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -98,6 +99,27 @@ def in_bytes(texts, limit: int):
         yield first, held
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc here
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """``f`` for ``mapInArrow`` whose worker keeps no freed memory between tasks: workers live on and are shared."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def utf8(column) -> list[bytes]:
     """The values of an Arrow string column as UTF-8 bytes; NULL is the empty text."""
     import pyarrow as pa

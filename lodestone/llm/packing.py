@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import in_bytes, utf8
+from lodestone.llm.common import in_bytes, lean, utf8
 
 WINDOW = 2048
 END_ID = 1
@@ -297,4 +297,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield batch(packer.take(last=True))
 
     fields = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:7]) + (", ids array<int>" if with_ids else "")
-    return src.mapInArrow(run, fields).withColumnRenamed("doc_id", id_col)
+    return src.mapInArrow(lean(run), fields).withColumnRenamed("doc_id", id_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import in_bytes, utf8
+from lodestone.llm.common import in_bytes, lean, utf8
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -99,7 +99,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     """
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("t"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
-    out = src.mapInArrow(_measured, fields + "".join(f", {m} long" for m in MEASURES))
+    out = src.mapInArrow(lean(_measured), fields + "".join(f", {m} long" for m in MEASURES))
     mask = sum((F.when(F.expr(rule), BITS[name]).otherwise(0) for name, rule in RULES.items()), F.lit(0))
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *([F.col("t").alias(text_col)] if carry_text else []), *MEASURES, mask.cast("long").alias("failures")

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import drop_staged, in_bytes, stage, utf8
+from lodestone.llm.common import drop_staged, in_bytes, lean, stage, utf8
 
 SEED = 42
 BLOCKS = 5
 GROUP_MAX = 1024
+#: (query, word of 64 members) pairs compared at once.
+PAIRS_MAX = 1 << 15
 _ONE = np.uint64(1)
 
 
@@ -62,7 +64,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of every row, as a signed 64-bit value."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(_fingerprints(shingle), f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(lean(_fingerprints(shingle)), f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _cuts(n_bits: int, blocks: int) -> list[int]:
@@ -96,27 +98,23 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(len(bits), n // 64, 64), axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
-def within(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, member index) of all pairs at most ``radius`` bits apart; queries are rows of bytes.
+def compared(bits: np.ndarray, vertical: np.ndarray, closed: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of the pairs at most ``radius`` bits apart, for queries ``q`` against words ``w`` of members.
 
-    All queries advance plane by plane; each keeps counters per word as bits ``c0, c1, ..`` and ``over`` for
-    members beyond the radius.  Words whose members are all beyond it leave the active set.
+    ``bits`` are the queries' bits, ``closed`` the bits of each word that hold no member.  All (query, word) pairs
+    advance plane by plane with carry-save counters as bits ``c0, c1, ..``, and ``over`` for members beyond the
+    radius; a pair whose members are all beyond it is abandoned.
     """
-    n_planes, n_words = vertical.shape
-    flips = np.where(np.unpackbits(queries, axis=1), ~np.uint64(0), np.uint64(0)).T
-    q, w = (x.ravel() for x in np.meshgrid(np.arange(len(queries)), np.arange(n_words), indexing="ij"))
-    tail = np.zeros(n_words, np.uint64)
-    if n % 64:
-        tail[-1] = ~((_ONE << np.uint64(n % 64)) - _ONE)
-    over = tail[w]
+    flips = np.where(bits, ~np.uint64(0), np.uint64(0)).T
+    over = closed[w]
     width = (radius + 1).bit_length()
     count = [np.zeros(len(q), np.uint64) for _ in range(width)]
-    for i in range(n_planes):
+    for i in range(len(vertical)):
         carry = vertical[i][w] ^ flips[i][q]
         for c in count:
             c[:], carry = c ^ carry, c & carry
         over |= carry
-        excess = np.full(len(q), ~np.uint64(0))
+        excess = ~over
         for j in range(width):
             excess &= count[j] if (radius + 1) >> j & 1 else ~count[j]
         over |= excess
@@ -132,48 +130,76 @@ def within(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> tu
     return q[row], w[row] * 64 + bit
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of a spanning forest of the links among fingerprints (rows of bytes), by position."""
-    n = len(fps)
-    parent = np.arange(n)
-    if n > 1:
-        vertical = planes(fps)
-        block = max(1, (1 << 16) // vertical.shape[1])
-        for i in range(0, n, block):
-            a, b = within(fps[i : i + block], vertical, n, radius)
-            a = a + i
-            keep = a < b
-            a, b = a[keep], b[keep]
-            while len(a):
-                ra, rb = parent[a], parent[b]
-                live = ra != rb
-                if not live.any():
-                    break
-                a, b, ra, rb = a[live], b[live], ra[live], rb[live]
-                np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-                while not np.array_equal(parent, up := parent[parent]):
-                    parent = up
-    member = np.flatnonzero(parent != np.arange(n))
-    return member, parent[member]
+def forests(groups: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (member, root) of spanning forests of the links inside each group, as rows of bytes.
+
+    groups: distinct fingerprints, as sorted rows of bytes.  Each group fills words of its own, so that many small
+    groups are compared in one pass, and a large one in blocks of queries.
+    """
+    first, held, pairs = 0, 0, 0
+    for i, g in enumerate(groups):
+        more = len(g) * -(-len(g) // 64)
+        if held and pairs + more > PAIRS_MAX:
+            yield _forest(groups[first:i], radius)
+            first, held, pairs = i, 0, 0
+        held, pairs = held + 1, pairs + more
+    if held:
+        yield _forest(groups[first:], radius)
+
+
+def _forest(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(g) for g in groups])
+    words = -(-size // 64)
+    word_at = np.cumsum(words) - words
+    n_words = int(words.sum())
+    place = np.repeat(64 * word_at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    members = np.zeros((64 * n_words, groups[0].shape[1]), np.uint8)
+    members[place] = np.concatenate(groups)
+    here = np.zeros(64 * n_words, np.uint8)
+    here[place] = 1
+    closed = ~np.packbits(here, bitorder="little").view("<u8")
+    vertical = planes(members)
+    per = np.repeat(words, size)  # words to compare each member with
+    parent = np.arange(64 * n_words)
+    step = max(1, PAIRS_MAX // int(words.max()))
+    lead = np.repeat(word_at, size)
+    for i in range(0, len(place), step):
+        own, n = place[i : i + step], per[i : i + step]
+        q = np.repeat(np.arange(len(own)), n)
+        w = np.repeat(lead[i : i + step], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = compared(np.unpackbits(members[own], axis=1), vertical, closed, q, w, radius)
+        a = own[a]
+        keep = a < b
+        a, b = a[keep], b[keep]
+        while len(a):
+            ra, rb = parent[a], parent[b]
+            live = ra != rb
+            if not live.any():
+                break
+            a, b, ra, rb = a[live], b[live], ra[live], rb[live]
+            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(parent, up := parent[parent]):
+                parent = up
+    member = np.flatnonzero(parent != np.arange(len(parent)))
+    return members[member], members[parent[member]]
+
+
+def _sorted_rows(flat: list[bytes]) -> np.ndarray:
+    own = sorted(set(flat))
+    return np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1)
 
 
 def _linked(radius: int):
+    """Rows (fps) of 64-bit fingerprints to forest edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            group = b.column(0)
-            offsets = np.asarray(group.offsets)
-            flat = np.asarray(group.values).view(np.uint64)
-            small, large = [], []
-            for lo, hi in zip(offsets[:-1], offsets[1:]):
-                own = np.sort(flat[lo:hi])
-                if hi - lo == 2:
-                    if int(own[0] ^ own[1]).bit_count() <= radius:
-                        large.append(own[1]), small.append(own[0])
-                    continue
-                m, r = forest(as_bytes(own), radius)
-                large.extend(own[m]), small.extend(own[r])
-            out = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (large, small)]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b"])
+            offsets = np.asarray(b.column(0).offsets)
+            flat = np.asarray(b.column(0).values).view(np.uint64)
+            groups = [as_bytes(np.unique(flat[lo:hi])) for lo, hi in zip(offsets[:-1], offsets[1:])]
+            for large, small in forests(groups, radius):
+                out = [pa.array(np.ascontiguousarray(x).view(">u8")[:, 0].astype(np.uint64).view(np.int64)) for x in (large, small)]
+                yield pa.RecordBatch.from_arrays(out, names=["a", "b"])
 
     return run
 
@@ -204,13 +230,13 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = 2, group_max: int =
     groups = parts[0]
     for p in parts[1:]:
         groups = groups.unionAll(p)
-    out = stage(spark, groups.mapInArrow(_linked(radius), "a long, b long").distinct(), "simhash-links")
+    out = stage(spark, groups.mapInArrow(lean(_linked(radius)), "a long, b long").distinct(), "simhash-links")
     drop_staged(spark, rows, sizes)
     return out
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node on an edge.
+    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that reaches a smaller one.
 
     Alternating large-star and small-star rounds; each round is written to the shared folder, and only a row
     count and a checksum come to the driver.  Neighbour minima are aggregates with partial sums, so a hub is no
@@ -224,13 +250,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage(spark, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")  # staged, the join can split a hub
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = stage(spark, large.distinct(), "cc-large")
-        floor = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        floor = stage(spark, large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-floor")
         small = large.join(floor, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(floor.select("u", "m"))
         after = stage(spark, small.filter("a <> b").distinct(), "cc")
-        drop_staged(spark, now, large)
+        drop_staged(spark, now, large, low, floor)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -309,17 +335,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_linked(radius: int):
-    """Rows (fps) to forest edges; fingerprints are binary."""
+    """Rows (fps) of binary fingerprints to forest edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            large, small = [], []
-            for own in b.column(0).to_pylist():
-                own = sorted(set(own))
-                m, r = forest(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1), radius)
-                large += [own[i] for i in m]
-                small += [own[i] for i in r]
-            yield pa.RecordBatch.from_arrays([pa.array(large, pa.binary()), pa.array(small, pa.binary())], names=["a", "b"])
+            for large, small in forests([_sorted_rows(x) for x in b.column(0).to_pylist()], radius):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in y], pa.binary()) for y in (large, small)], names=["a", "b"])
 
     return run
 
@@ -334,7 +355,7 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    fps = stage(spark, src.mapInArrow(_sketched, f"id {kind}, fp binary, bands array<long>"), "sketches")
+    fps = stage(spark, src.mapInArrow(lean(_sketched), f"id {kind}, fp binary, bands array<long>"), "sketches")
     least = stage(spark, fps.groupBy("fp").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "sketch-least")
     rows = stage(spark, least.select("fp", F.posexplode("bands").alias("m", "v")), "sketch-rows")
     sizes = stage(spark, rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-groups")
@@ -343,6 +364,6 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     large = rows.join(sizes.filter(F.col("n") > group_max), ["m", "v"]).withColumn("t", F.pmod(F.xxhash64("fp"), tiles).cast("int"))
     paired = large.withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("lo", F.least("t", "o")).withColumn("hi", F.greatest("t", "o"))
     paired = paired.groupBy("m", "v", "lo", "hi").agg(F.collect_list("fp").alias("fps")).select("fps")
-    edges = stage(spark, normal.unionAll(paired).mapInArrow(_near_linked(near_radius(similarity)), "a binary, b binary").distinct(), "sketch-links")
+    edges = stage(spark, normal.unionAll(paired).mapInArrow(lean(_near_linked(near_radius(similarity))), "a binary, b binary").distinct(), "sketch-links")
     drop_staged(spark, rows, sizes)
     return _labelled(spark, fps, least, edges)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import in_bytes, utf8
+from lodestone.llm.common import in_bytes, lean, utf8
 
 SAMPLES, ALPHA = 2, 0.25
 CHUNK = 1 << 19
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             ids = sp.encode([t.decode("utf-8", "replace") for t in utf8(b.column(1))], num_threads=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -321,7 +321,7 @@ def decode(rows: DataFrame, model: str, id_col: str = "id", ids_col: str = "ids"
             texts = [v.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, text string")
 
 
 def sample_segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = False) -> DataFrame:
@@ -351,4 +351,4 @@ def sample_segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", te
 
     kind = src.schema["id"].dataType.simpleString()
     fields = f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, decoded_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return src.mapInArrow(run, fields)
+    return src.mapInArrow(lean(run), fields)
