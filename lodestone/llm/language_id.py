@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import crc_mod4, in_bytes, utf8
+from lodestone.llm.common import crc_mod4, in_bytes, lean, utf8
 
 BUCKET_BITS, WIDTH = 17, 12
 #: Documents sampled per language, and segments of each.
@@ -52,6 +52,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = plain == 32
     keep = np.ones(len(plain), bool)
     keep[1:] = ~(space[1:] & space[:-1])
+    keep[at[:-1]] = True  # every text has a subword
     ends = np.cumsum(keep)[at[1:] - 1]
     x = np.concatenate((plain[keep], np.full(4, 32, np.uint8))).astype(np.uint64)
     n = len(x) - 4
@@ -171,7 +172,7 @@ def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seed = F.xxhash64(F.col("id").cast("string"), F.lit("language"))
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
     chosen = src.withColumn("seed", seed).filter(F.pmod("seed", F.lit(1 << 20)) < rate * (1 << 20)).select("seed", "lang", "text")
-    rows = sorted(chosen.mapInArrow(_segmented, "seed long, lang string, part binary").collect())
+    rows = sorted(chosen.mapInArrow(lean(_segmented), "seed long, lang string, part binary").collect())
     return train([bytes(r["part"]) for r in rows], [r["lang"] for r in rows])
 
 
@@ -198,4 +199,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yes = [n != UNKNOWN and s >= m.reject_below for n, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(yes, pa.bool_())], names=["id", "lang_pred", "score", "accepted"])
 
-    return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, accepted boolean")
+    return src.mapInArrow(lean(run), f"id {kind}, lang_pred string, score double, accepted boolean")
