@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import crc_mod4, drop_staged, in_bytes, stage, utf8
+from lodestone.llm.common import crc_mod4, drop_staged, in_bytes, lean, stage, utf8
 
 #: Documents sampled with label 1 and 0, cue features kept, chains taken from a document.
 TOXIC_MAX, CLEAN_MAX, CUES_MAX, CHAINS = 3000, 6000, 20_000, 12
@@ -28,7 +28,7 @@ N_FEATURES = len(PREFIXES) + 3
 CHAIN_MAX = 64
 EPOCHS, BATCH, RATE, DECAY = 5, 256, 0.5, 1e-5
 THRESHOLD = 0.3
-SPAN = 0.5
+SPAN = 0.3
 CHUNK = 1 << 19
 _TOKEN = np.zeros(256, bool)
 _TOKEN[128:] = True
@@ -264,7 +264,7 @@ def find_cues(spark: SparkSession, fit: DataFrame) -> np.ndarray:
     A cue is strong if that many toxic documents and so few others hold it that chance among all features does not
     explain it.  Documents without a strong cue take the weak ones that cover most of them, one after another.
     """
-    table = fit.select("toxic", "text").mapInArrow(_document_features, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t + c >= 3")
+    table = fit.select("toxic", "text").mapInArrow(lean(_document_features), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t + c >= 3")
     table = stage(spark, table, "toxicity-features")
     n = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     base = max(1, n.get(1, 0)) / max(2, sum(n.values()))
@@ -273,7 +273,7 @@ def find_cues(spark: SparkSession, fit: DataFrame) -> np.ndarray:
     rows = good.orderBy(F.desc("t"), "feature").limit(CUES_MAX).collect()
     cues = np.array([r["feature"] for r in rows], np.int64).view(np.uint64)
     strong = np.array([r["t"] >= least for r in rows], bool)
-    left = fit.filter("toxic = 1").select("seed", "text").mapInArrow(_unexplained(cues[strong], cues[~strong]), "seed long, cues array<long>").collect()
+    left = fit.filter("toxic = 1").select("seed", "text").mapInArrow(lean(_unexplained(cues[strong], cues[~strong])), "seed long, cues array<long>").collect()
     drop_staged(spark, table)
     docs = [set(r["cues"]) for r in sorted(left)]
     chosen = []
@@ -305,7 +305,7 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col
     sample = stage(spark, src.join(F.broadcast(chosen), "id").select("seed", "toxic", "text"), "toxicity-sample")
     fit, hold = sample.filter("pmod(shiftright(seed, 20), 4) <> 0"), sample.filter("pmod(shiftright(seed, 20), 4) = 0")
     cues = find_cues(spark, fit)
-    chains = sorted(fit.mapInArrow(_chains(cues), "seed long, n int, x array<int>, y array<tinyint>").collect())
+    chains = sorted(fit.mapInArrow(lean(_chains(cues)), "seed long, n int, x array<int>, y array<tinyint>").collect())
     model = train_field([np.array(r["x"], np.int32).reshape(N_FEATURES, r["n"]) for r in chains], [np.array(r["y"], np.float64) for r in chains])
     held = sorted(score_documents(hold.withColumnRenamed("seed", "id"), model, "id", "text", ("toxic",)).select("id", "total", "most", "toxic").collect())
     if len({r["toxic"] for r in held}) == 2:
@@ -345,5 +345,5 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], pa.array(score(m, x)), pa.array(x[0]), pa.array(x[1]), pa.array(spans, _SPANS)], names=[*b.schema.names[:n_keys], "score", "total", "most", "spans"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:n_keys])
-    out = src.mapInArrow(run, f"{fields}, score double, total double, most double, spans array<struct<start:int,end:int,p:double>>")
+    out = src.mapInArrow(lean(run), f"{fields}, score double, total double, most double, spans array<struct<start:int,end:int,p:double>>")
     return out.select("id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", "total", "most", "spans")
