@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_staged, in_bytes, stage, utf8
+from lodestone.llm.common import drop_staged, in_bytes, lean, stage, utf8
 
 SAMPLES = 64
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16384, 11
@@ -64,21 +64,26 @@ def chunk_ends(payloads: list[bytes]) -> list[list[int]]:
     return out
 
 
+_LIST = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
+
+
+def recipe(p: bytes, ends: list[int]) -> list[dict]:
+    """The ordered chunk list of a payload."""
+    return [{"digest": hashlib.sha256(p[lo:hi]).digest(), "size": hi - lo} for lo, hi in zip([0, *ends], ends)]
+
+
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n_bytes, shas, lists = [], [], []
-        for _, texts in in_bytes(utf8(b.column(1)), CHUNK):
+        shas, lists = [], []
+        for _, texts in in_bytes(utf8(b.column(0)), CHUNK):
             whole = [payload(t) for t in texts]
-            for t, p, ends in zip(texts, whole, chunk_ends(whole)):
-                n_bytes.append(len(t))
-                shas.append(hashlib.sha256(p).digest())
-                lists.append([(hashlib.sha256(p[lo:hi]).digest(), hi - lo) for lo, hi in zip([0, *ends], ends)])
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(shas, pa.binary()), pa.array([[{"digest": d, "size": s} for d, s in x] for x in lists], kind)], names=["id", "n_bytes", "sha", "recipe"])
+            shas += [hashlib.sha256(p).digest() for p in whole]
+            lists += [recipe(p, ends) for p, ends in zip(whole, chunk_ends(whole))]
+        yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(lists, _LIST)], names=["sha", "recipe"])
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=5)
+    press = zstandard.ZstdCompressor(level=9)
     for b in batches:
         texts = utf8(b.column(0))
         shas = [hashlib.sha256(payload(t)).digest() for t in texts]
@@ -92,7 +97,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sha, z, marks) to store rows: the chunks a payload owns; ``marks`` lists its shared chunks."""
     for b in batches:
         press = zstandard.ZstdDecompressor()
-        linked, lends, own = [], [], []
+        linked, lends, own, lists = [], [], [], []
         whole = [payload(press.decompress(z)) for z in b.column(1).to_pylist()]
         marks = b.column(2).to_pylist()
         for first, run in in_bytes(whole, CHUNK):
@@ -103,9 +108,10 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if shared.get(k, True):
                         rows.append({"seq": k, "data": p[lo:hi], "shared": k in shared})
                 own.append(rows)
+                lists.append(recipe(p, ends))
                 linked.append(len(rows) < len(ends))
                 lends.append(any(shared.values()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lends, pa.bool_()), pa.array(own, _STORED), pa.array(linked, pa.bool_())], names=["sha", "lends", "own", "linked"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, _LIST), pa.array(lends, pa.bool_()), pa.array(own, _STORED), pa.array(linked, pa.bool_())], names=["sha", "recipe", "lends", "own", "linked"])
 
 
 def feature(samples: np.ndarray) -> str:
@@ -138,36 +144,46 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_chunks", "feature"])
 
 
-def store_media(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Write the chunk store: (rows, payloads, shared, store), all staged.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_bytes, sha) of every row: the SHA-256 of its padded payload, computed by Spark itself."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    n = F.octet_length(text)
+    pad = F.when(n == 0, SAMPLES).otherwise(F.pmod(-n, F.lit(SAMPLES)))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), n.cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat(text.cast("binary"), F.unhex(F.repeat(F.lit("00"), pad))), 256)).alias("sha"))
 
-    ``rows`` maps ids to payload digests, ``payloads`` holds the ordered chunk list of each distinct payload,
-    ``shared`` the chunks that several places use with whether the place owns the bytes, ``store`` the bytes.
+
+def store_media(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write the chunk store: (shared, store), both staged.
+
+    ``shared`` lists the chunks that several places use, with whether the place owns the bytes; a row of ``store`` is
+    a distinct payload with its ordered chunk list and the bytes of the chunks it owns.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    rows = stage(spark, src.mapInArrow(_recipes, f"id {kind}, n_bytes long, sha binary, recipe {_RECIPE}"), "media-rows")
-    payloads = stage(spark, rows.groupBy("sha").agg(F.first("recipe").alias("recipe")), "media-recipes")
+    src = docs.select(F.col(f"`{text_col}`").alias("text"))
+    payloads = stage(spark, src.mapInArrow(lean(_recipes), f"sha binary, recipe {_RECIPE}").groupBy("sha").agg(F.first("recipe").alias("recipe")), "media-recipes")
     places = payloads.select("sha", F.posexplode("recipe").alias("seq", "chunk")).select("sha", "seq", "chunk.digest")
     owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("sha", "seq")).alias("owner")).filter("n > 1")
     shared = places.join(owners, "digest").select("sha", "seq", "digest", (F.struct("sha", "seq") == F.col("owner")).alias("owned"))
     shared = stage(spark, shared, "media-shared")
+    drop_staged(spark, payloads)
     marks = shared.groupBy("sha").agg(F.collect_list(F.struct("seq", "owned")).alias("marks"))
-    texts = src.select("text").mapInArrow(_squeezed, "sha binary, z binary").groupBy("sha").agg(F.first("z").alias("z"))
-    stored = texts.join(marks, "sha", "left").select("sha", "z", "marks").mapInArrow(_stored, "sha binary, lends boolean, own array<struct<seq:int,data:binary,shared:boolean>>, linked boolean")
-    return rows, payloads, shared, stage(spark, stored, "media-store", ["linked"])
+    texts = src.mapInArrow(lean(_squeezed), "sha binary, z binary").groupBy("sha").agg(F.first("z").alias("z"))
+    stored = texts.join(marks, "sha", "left").select("sha", "z", "marks").mapInArrow(lean(_stored), f"sha binary, recipe {_RECIPE}, lends boolean, own array<struct<seq:int,data:binary,shared:boolean>>, linked boolean")
+    return shared, stage(spark, stored, "media-store", ["linked"], level=9)
 
 
-def read_media(payloads: DataFrame, shared: DataFrame, store: DataFrame) -> DataFrame:
-    """Features of every stored payload, from the bytes read back through its ordered chunk list."""
+def read_media(shared: DataFrame, store: DataFrame) -> DataFrame:
+    """Features of every stored payload, from the bytes read back through its ordered chunk list.
+
+    Payloads that own all their chunks are read where they lie; only rows with chunks owned elsewhere, and those
+    chunks, are shuffled.
+    """
     fields = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks long, feature string"
     lent = store.filter("lends").select("sha", F.explode("own").alias("c")).filter("c.shared").select("sha", "c.seq", "c.data")
     lent = lent.join(shared.filter("owned").select("sha", "seq", "digest"), ["sha", "seq"]).select("digest", "data")
     foreign = shared.filter("not owned").select("sha", "seq", "digest").join(lent, "digest").groupBy("sha").agg(F.collect_list(F.struct("seq", "data")).alias("foreign"))
-    with_lists = store.select("sha", "own", "linked").join(payloads, "sha")
-    alone = with_lists.filter("not linked").select("sha", "recipe", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("foreign"))
-    linked = with_lists.filter("linked").join(foreign, "sha", "left").select("sha", "recipe", "own", "foreign")
-    return alone.unionAll(linked).mapInArrow(_features, fields)
+    alone = store.filter("not linked").select("sha", "recipe", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("foreign"))
+    linked = store.filter("linked").select("sha", "recipe", "own").join(foreign, "sha", "left")
+    return alone.unionAll(linked).mapInArrow(lean(_features), fields)
 
 
 def media_features(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +192,7 @@ def media_features(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Defined cases: NULL text is empty, and an empty text is a payload of 64 zero bytes; rows with NULL or repeated
     ids are rows like others; equal texts share one stored payload; an empty table gives an empty result.
     """
-    rows, payloads, shared, store = store_media(spark, docs, id_col, text_col)
-    read = stage(spark, read_media(payloads, shared, store), "media-features")
-    drop_staged(spark, payloads, shared, store)
-    return rows.select("id", "n_bytes", "sha").join(read.hint("merge"), "sha").drop("sha")
+    shared, store = store_media(spark, docs, text_col)
+    read = stage(spark, read_media(shared, store), "media-features")
+    drop_staged(spark, shared, store)
+    return keyed(docs, id_col, text_col).join(read.hint("merge"), "sha").drop("sha")
