@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import drop_staged, in_bytes, stage, utf8
+from lodestone.llm.common import drop_staged, in_bytes, lean, stage, utf8
 from lodestone.llm.fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 8
 REGION_MAX = 64
-HOT = 4096
+HOT = 512
 SHARD_WORDS = 400_000
 CHUNK = 1 << 20
 
@@ -153,21 +153,21 @@ def repeated_words(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     ``row`` is the xxhash32-wide part of the text's hash, which keeps rows that repeat an id apart.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    found = stage(spark, src.mapInArrow(_find(window), "doc long, row long, anchor long, content long, start int, n int"), "regions")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor")
+    found = stage(spark, src.mapInArrow(lean(_find(window)), "doc long, row long, anchor long, content long, start int, n int"), "regions")
+    shared = stage(spark, found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor"), "shared-anchors")
     cand = stage(spark, found.join(shared, "anchor", "left_semi"), "shared-regions")
-    drop_staged(spark, found)
+    drop_staged(spark, found, shared)
     least = F.min(F.struct("doc", "row", "start", "n")).alias("m")
     distinct = stage(spark, cand.groupBy("anchor", "content").agg(least).select("anchor", "content", "m.*"), "distinct-regions")
     many = stage(spark, distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > hot).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     wanted = F.collect_list(F.struct("anchor", "content", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     supply = distinct.join(many, "anchor", "left").groupBy("doc", "row").agg(wanted)
     texts = src.join(supply.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "wanted", "text")
-    texts = stage(spark, texts.mapInArrow(_texts(window), "anchor long, content long, least long, words binary, hashes array<long>"), "region-texts")
+    texts = stage(spark, texts.mapInArrow(lean(_texts(window)), "anchor long, content long, least long, words binary, hashes array<long>"), "region-texts")
     n_words = distinct.agg(F.sum(F.col("n") + F.lit(window))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // SHARD_WORDS))
     gathered = texts.filter("words is not null").select("anchor", "content", "words", F.col("least").alias("rank")).repartition(shards, "anchor")
-    hits = gathered.mapInArrow(_shard(window), "anchor long, content long, hits array<int>")
+    hits = gathered.mapInArrow(lean(_shard(window)), "anchor long, content long, hits array<int>")
     single = texts.filter("hashes is not null").select("anchor", "content", "least", F.posexplode("hashes").alias("at", "h"))
     lowest = single.groupBy("anchor", "h").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("anchor", "h", "low")
     late = single.join(lowest, ["anchor", "h"]).filter("least > low").groupBy("anchor", "content").agg(F.sort_array(F.collect_list("at")).alias("hits"))
@@ -225,5 +225,5 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
     both = src.join(cuts.hint("merge"), ["doc", "row"], "left").select(*[f"k{i}" for i in range(len(keep))], "cuts", "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(keep)])
-    out = both.mapInArrow(_kept(with_text, len(keep)), f"{fields}, n_words long, n_removed long, kept string")
+    out = both.mapInArrow(lean(_kept(with_text, len(keep))), f"{fields}, n_words long, n_removed long, kept string")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")
