@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_path, stage, utf8
+from lodestone.llm.common import fresh_path, lean, stage, utf8
 
 REVISIT_MIN = 1000
 READ_MAX, GAP_MAX = 4 << 20, 1 << 16
+#: Compressed bytes of archives that one reading task gets.
+READ_PARTITION = 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
@@ -102,7 +104,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")), F.col("keeper")).alias("refers_to")
     rows = src.join(keepers, "digest", "left").select("page_id", "url", "html", "digest", refers_to)
     kind = src.schema["page_id"].dataType.simpleString()
-    return stage(spark, rows.mapInArrow(_writer(fresh_path(spark, "warc")), INDEX.format(kind=kind)), "warc-index")
+    return stage(spark, rows.mapInArrow(lean(_writer(fresh_path(spark, "warc"))), INDEX.format(kind=kind)), "warc-index")
 
 
 def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -155,8 +157,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(index: DataFrame) -> DataFrame:
     """Read the records that index rows select, by coalesced ranges in archive order."""
     kind = index.schema["page_id"].dataType.simpleString()
-    ordered = index.select("page_id", "archive", "offset", "length", "refers_to").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(_reader, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-size // READ_PARTITION))
+    ordered = index.select("page_id", "archive", "offset", "length", "refers_to").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(lean(_reader), f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
