@@ -111,6 +111,44 @@ def test_near_copies(spark, group_max):
     assert got == {i: (i if i >= 900 else i // 100 * 100) for i, _ in rows}
 
 
+def _shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _alike(rows, similarity=0.8):
+    """The smallest id reachable over pairs of an exact Jaccard similarity, by brute force."""
+    sets = [_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root = [root[i] if r == root[j] else r for r in root]
+    return {d: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for (d, _), r in zip(rows, root)}
+
+
+@pytest.mark.parametrize("group_max, tile", [(1024, 512), (3, 4)])
+def test_near_copies_are_those_of_exact_similarity(spark, group_max, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 9000, n)]
+    rows = []
+    for n in (8, 60, 200, 800):
+        for j in (0.75, 0.78, 0.79, 0.8, 0.81, 0.82, 0.85, 0.9):
+            for _ in range(6):
+                base = word(n + 4)
+                tail = round(n * (1 - j) / (1 + j))  # the last shingles differ
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: len(base) - tail] + word(tail)))]
+    base = word(204)
+    for c in range(14):  # a chain whose neighbours alone are near copies
+        rows.append((len(rows), " ".join(base[c * 8 : c * 8 + 100])))
+    want = _alike(rows)
+    assert 80 < sum(want[i] != i for i, _ in rows) < len(rows) // 2
+    got = {r.id: r.component for r in simhash.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), group_max=group_max).collect()}
+    assert got == want
+
+
 def _removed(rows, window=50):
     words = [((d, t), (t or "").encode().split()) for d, t in rows]
     low: dict = {}
