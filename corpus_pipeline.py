@@ -60,11 +60,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate component, and every row without an id."""
-    found = simhash.near_components(spark, docs)
-    keep = found.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.filter("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The smallest row of each near-duplicate component by (doc_id, hash of the text), and every row without an id.
+
+    Rows that repeat an id stand for themselves: those with different texts stay unless they are near copies.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.filter("doc_id is not null")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("d"), text_hash.alias("h"))).alias("id"), "text")
+    found = simhash.near_components(spark, keyed, "id")
+    keep = found.filter("id = component").select(F.col("id.d").alias("doc_id"), F.col("id.h").alias("_text_hash")).distinct()
+    named = named.withColumn("_text_hash", text_hash).join(keep.hint("merge"), ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 @_stage

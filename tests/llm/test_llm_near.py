@@ -149,6 +149,20 @@ def test_near_copies_are_those_of_exact_similarity(spark, group_max, tile, monke
     assert got == want
 
 
+def test_sets_of_one_sketch_stay_apart(spark):
+    words = [f"w{x}" for x in np.random.default_rng(7).integers(0, 9**9, 20000)]
+    text = " ".join(words)
+    first = simhash.near_sketch([text.encode()])
+    for k in range(100):
+        other = f"{text} more{k}"
+        second = simhash.near_sketch([other.encode()])
+        if (first[1] == second[1]).all():
+            break
+    assert (first[1] == second[1]).all() and first[0] != second[0]
+    got = {r.id: r for r in simhash.near_components(spark, spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")).collect()}
+    assert got[1].fp != got[2].fp and got[2].component == 1
+
+
 def _removed(rows, window=50):
     words = [((d, t), (t or "").encode().split()) for d, t in rows]
     low: dict = {}

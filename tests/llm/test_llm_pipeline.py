@@ -52,6 +52,15 @@ def test_stages(spark, tmp_path):
     assert set(seen["packing"]) == set(fourth)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (_words(100) for _ in range(3))
+    a, b, c, b2 = (" ".join(x) for x in (a, b, c, [*b[:99], "changed"]))
+    rows = [(1, b2), (2, a), (2, b), (2, a), (3, c), (3, c), (4, a), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, b2), (2, a), (3, c), (None, a), (None, a)], key=repr)
+
+
 def test_run(spark, tmp_path):
     docs = spark.createDataFrame(_table(), "doc_id long, text string, lang string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
