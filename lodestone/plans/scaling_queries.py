@@ -26,6 +26,14 @@ def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", "role", each).select("conv_id", "turn", "role", "x.template", F.sha2("x.s", 256).alias("instruction_sha"))
 
 
+@query("template_render_whole", f"""SELECT conv_id, turn, role, t AS template, sha256(CASE {_CASES.replace("left(coalesce(text, ''), 80)", "coalesce(text, '')")} END) AS instruction_sha FROM conversations, (SELECT unnest([0, 1, 2]) AS t)""")
+def template_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three wordings of each turn's instruction, with its whole text as the variable."""
+    t = table(spark, sf_dir, "conversations")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), M.rendered(F.col("role"), F.coalesce("text", F.lit("")), i).alias("s")) for i in range(3)])).alias("x")
+    return t.select("conv_id", "turn", "role", each).select("conv_id", "turn", "role", "x.template", F.sha2("x.s", 256).alias("instruction_sha"))
+
+
 PAIRS = "p AS (SELECT conv_id, max(text) FILTER (role = 'user') AS gold, max(text) FILTER (role = 'assistant') AS found FROM conversations GROUP BY conv_id)"
 
 

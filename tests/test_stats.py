@@ -130,3 +130,18 @@ def test_crop_keeps_the_span(spark):
         at = df.select(M.crop(F.col("w"), F.lit(lo), F.lit(hi), 6)).first()[0]
         assert at.start <= lo and hi <= at.end and at.end - at.start == 6
     assert df.select(M.crop(F.col("w"), F.lit(0), F.lit(9), 6)).first()[0] is None
+
+
+def test_templates_take_the_whole_text(spark):
+    import hashlib
+
+    from conftest import DATA
+
+    from lodestone.plans import catalogue
+
+    turns = spark.read.parquet(f"{DATA}/sf0.001/conversations.parquet").filter("length(text) > 80 and role in ('user', 'assistant', 'system')").collect()
+    got = {(r.conv_id, r.turn, r.template): r.instruction_sha for r in catalogue.queries()["template_render_whole"](spark, f"{DATA}/sf0.001").collect()}
+    assert turns
+    for r in turns:
+        for i, w in enumerate(M.TEMPLATES[r.role]):
+            assert got[r.conv_id, r.turn, i] == hashlib.sha256(w.format(r.text).encode()).hexdigest()
