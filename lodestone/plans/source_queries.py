@@ -10,6 +10,7 @@ from lodestone.operators import detect as D
 from lodestone.operators import materialize as M
 from lodestone.plans.detection_queries import candidates_input
 from lodestone.plans.registry import Registry, table
+from lodestone.shipping import ship
 from lodestone.sources import io
 from lodestone.streaming import ingest
 
@@ -44,8 +45,9 @@ def materialize_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("checksum_manifest")
 def checksum_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums of the small dimension files."""
-    return io.checksums(spark, f"{sf_dir}/{{region,nation}}.parquet")
+    """Checksums of all files of all tables."""
+    ship(spark)
+    return io.checksums(spark, sf_dir)
 
 
 @query("event_windows", """SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n, floor(sum(value) * 1e4 + 0.5) / 1e4 AS total FROM events GROUP BY 1, 2""")

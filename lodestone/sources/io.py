@@ -11,6 +11,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,10 +125,92 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+#: Bytes of a file that travel in one row, and names that Spark's text reader would decompress.
+CHUNK = 1 << 14
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, size, start, value) of lines in order to (path, size, start, nth, chunk), each line with its line feed."""
+
+    def rows(key: tuple, first: int, raw: bytes) -> pa.RecordBatch:
+        parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
+        columns = [*([k] * len(parts) for k in key), range(first, first + len(parts)), parts]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "size", "start", "nth", "chunk"])
+
+    now, nth, held = None, 0, bytearray()
+    for b in batches:
+        for *key, value in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if key != now:
+                if held:
+                    yield rows(now, nth, bytes(held))
+                now, nth, held = key, 0, bytearray()
+            held += value
+            held += b"\n"
+            if len(held) >= 64 * CHUNK:
+                out = rows(now, nth, bytes(held))
+                yield out
+                nth, held = nth + len(out), bytearray()
+    if held:
+        yield rows(now, nth, bytes(held))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of whole files in order to (path, sha256).
+
+    The reader tells neither whether the last line ends in a line feed nor whether it left out a byte order mark: the size does.
+    """
+
+    def digest(path: str, size: int, total: int, hashers: tuple, last: bytes) -> pa.RecordBatch:
+        extra = total - size
+        if extra not in (0, 1, -3, -2):
+            raise ValueError(f"{path} is not as long as it was listed")
+        own = hashers[extra < 0]
+        if extra in (0, -3):
+            own.update(last)
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([own.hexdigest()])], names=["path", "sha256"])
+
+    now = None
+    for b in batches:
+        for path, size, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+            if path != now:
+                if now is not None:
+                    yield digest(now, length, total, hashers, last)
+                now, length, total, last = path, size, 0, b""
+                hashers = hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+            for h in hashers:
+                h.update(last)
+                h.update(chunk[:-1])
+            last, total = chunk[-1:], total + len(chunk)
+    if now is not None:
+        yield digest(now, length, total, hashers, last)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, n_bytes) of files."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    """(name, sha256, n_bytes) of all files at or below a path; names are relative to a folder, and last components otherwise.
+
+    Files are read as lines of bytes by as many tasks as they have splits and hashed as a stream of chunks, one task a file,
+    through Spark's readers alone.  Only names that the text reader would decompress are hashed as one value.
+    Hidden files, whose names begin with ``.`` or ``_``, are not listed.
+    """
+    meta = F.col("_metadata.file_path")
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = reader.format("binaryFile").load(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    at = F.instr("path", root)
+    name = F.when(at > 0, F.col("path").substr(at + len(root), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
+    # Scans leave out empty files; the index has them.
+    jvm = spark._jvm
+    every = spark.createDataFrame([(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x)).toString(),) for x in files.inputFiles()], "path string")
+    listed = every.join(files.select("path", meta.alias("at"), "length"), "path", "left").select("at", name.alias("name"), F.coalesce("length", F.lit(0)).alias("n_bytes"))
+    packed = files.filter(meta.rlike(PACKED)).select(meta.alias("path"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).filter(~meta.rlike(PACKED))
+    lines = lines.select(meta.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    chunks = lines.mapInArrow(_chunks, "path string, size long, start long, nth long, chunk binary")
+    hashed = chunks.repartition("path").sortWithinPartitions("path", "start", "nth").mapInArrow(_digests, "path string, sha256 string")
+    found = listed.join(hashed.unionAll(packed), F.col("at") == F.col("path"), "left")
+    return found.select("name", F.coalesce("sha256", F.when(F.col("n_bytes") == 0, sha256_text(""))).alias("sha256"), "n_bytes")
 
 
 def checksum_failures(manifest: DataFrame, found: DataFrame) -> DataFrame:

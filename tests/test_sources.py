@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import io as stdio
 import json
 import sqlite3
@@ -9,8 +11,10 @@ import tarfile
 
 import numpy as np
 import pytest
+from conftest import DATA
 
 from lodestone.operators import canonical as P
+from lodestone.plans import catalogue
 from lodestone.shipping import ship
 from lodestone.sources import io
 from lodestone.streaming import ingest
@@ -52,6 +56,31 @@ def test_guards_and_checksums(spark, tmp_path):
     assert io.checksum_failures(bad, found).count() == 1
 
 
+def test_checksums_of_all_files(spark, tmp_path):
+    ship(spark)
+    noise = np.random.default_rng(1).integers(0, 256, 1_500_000).astype(np.uint8).tobytes()
+    files = {"a/part-0": noise, "b/part-0": noise[:-1] + b"\n", "empty": b"", "lf": b"\n", "lines": b"x\r\ny\r\n\n", "no end": b"x\ny", "mark": b"\xef\xbb\xbfx\ny\n", "mark2": b"\xef\xbb\xbfx"}
+    files |= {"long": bytes(100_000), "z.gz": gzip.compress(b"text"), "c/p.snappy.parquet": noise[:70_000]}
+    for name, raw in files.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(raw)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = {r.name: (r.sha256, r.n_bytes) for r in io.checksums(spark, str(tmp_path / "t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in files.items()}
+
+
+def test_manifest_has_every_table(spark):
+    from pathlib import Path
+
+    at = Path(DATA, "sf0.001")
+    got = {r.name: r.sha256 for r in catalogue.queries()["checksum_manifest"](spark, str(at)).collect()}
+    assert got == {str(f.relative_to(at)): hashlib.sha256(f.read_bytes()).hexdigest() for f in at.rglob("*") if f.is_file()}
+
+
 def test_settings_and_json():
     assert io.block_settings("a:\n  x: 1\n  y: 'b'  # c\nd: 2\n") == {"a": {"x": "1", "y": "b"}, "d": {"": "2"}}
     assert io.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
