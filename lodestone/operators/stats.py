@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Units of resampling that may travel to the workers with a replicate task.
 UNITS_MAX = 200_000
+#: Buckets of units whose partial sums are added in order.
+BUCKETS = 256
 
 
 def holm(df: DataFrame, by: list[str], p: str, key: list[str]) -> DataFrame:
@@ -147,34 +149,36 @@ def seed_of(label: str) -> int:
     return int(hashlib.sha256(label.encode()).hexdigest()[:16], 16)
 
 
-def bootstrap_ratio(spark: SparkSession, units: DataFrame, top: str, low: str, label: str, replicates: int = 2000, block: int = 100) -> DataFrame:
-    """Bootstrap of ``sum(top) / sum(low)`` over resampled units (items, or clusters summed to one row each).
+def bootstrap_ratio(spark: SparkSession, units: DataFrame, top: str, low: str, label: str, replicates: int = 2000, block: int = 1024) -> DataFrame:
+    """Poisson bootstrap of ``sum(top) / sum(low)`` over resampled units (items, or clusters summed to one row each).
 
     Returns (estimate, lo, hi, ucb, p): percentile interval, one-sided upper bound, two-sided p against zero.
-    The unit table is counted first and must fit ``UNITS_MAX``.
+    Units stay distributed and may be any number: equal units are counted, and the count of each draws a Poisson weight
+    for every replicate (that of a sum of units with mean 1 each).  Buckets by hash, each in order, give partial sums per
+    replicate that are added in the order of buckets, so the result does not depend on partitioning.
     """
-    own = units.select(F.col(top).cast("double").alias("t"), F.col(low).cast("double").alias("l")).orderBy("t", "l")
-    n = own.count()
-    if n > UNITS_MAX:
-        raise ValueError("aggregate to fewer units first")
-    frame = own.toPandas()
-    t, l = frame["t"].to_numpy(), frame["l"].to_numpy()  # noqa: E741
+    own = units.select(F.col(top).cast("double").alias("t"), F.col(low).cast("double").alias("l")).groupBy("t", "l").agg(F.count("*").alias("m"))
     base = seed_of(label)
-    shared = spark.sparkContext.broadcast((t, l))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, l = shared.value  # noqa: E741
-        for ids in batches:
-            out = []
-            for r in ids["id"]:
-                i = np.random.Generator(np.random.PCG64([base & 0xFFFFFFFF, int(r)])).integers(0, n, n)
-                out.append(t[i].sum() / l[i].sum() if l[i].sum() else np.nan)
-            yield pd.DataFrame({"v": out})
 
-    draws = spark.range(0, replicates, 1, max(1, replicates // block)).mapInPandas(run, "v double")
-    p = F.least(F.lit(1.0), 2 * F.least((F.count_if(F.col("v") <= 0) + 1) / (F.count("v") + 1), (F.count_if(F.col("v") >= 0) + 1) / (F.count("v") + 1)))
-    q = F.expr("percentile(v, array(0.025, 0.975, 0.95))")
-    return draws.agg(F.lit(float(t.sum() / l.sum()) if n and l.sum() else None).cast("double").alias("estimate"), q.alias("q"), p.alias("p")).select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"), "p")
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["t", "l"])
+        v, m = g[["t", "l"]].to_numpy(float), g["m"].to_numpy()
+        rng = np.random.Generator(np.random.PCG64([base & 0xFFFFFFFF, int(key[0])]))
+        total = np.zeros((replicates + 1, 2))
+        for i in range(0, len(v), block):
+            part, n = v[i : i + block], m[i : i + block, None]
+            total[0] += (n * part).sum(0)
+            total[1:] += rng.poisson(n, (len(part), replicates)).T.astype(float) @ part
+        return pd.DataFrame({"r": np.arange(replicates + 1), "b": int(key[0]), "t": total[:, 0], "l": total[:, 1]})
+
+    partial = own.groupBy(F.pmod(F.xxhash64("t", "l"), F.lit(BUCKETS)).alias("bucket")).applyInPandas(run, "r long, b long, t double, l double")
+    each = partial.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("b", "t", "l"))).alias("x"))
+    total = lambda c: F.aggregate("x", F.lit(0.0), lambda s, x: s + x[c])
+    each = each.select("r", total("t").alias("t"), total("l").alias("l")).select("r", F.when(F.col("l") != 0, F.col("t") / F.nullif("l", F.lit(0.0))).when(F.col("r") > 0, float("nan")).alias("v"))
+    draw = F.when(F.col("r") > 0, F.col("v"))
+    p = F.least(F.lit(1.0), 2 * F.least((F.count_if(draw <= 0) + 1) / (F.count(draw) + 1), (F.count_if(draw >= 0) + 1) / (F.count(draw) + 1)))
+    q = F.percentile(draw, F.array(F.lit(0.025), F.lit(0.975), F.lit(0.95)))
+    return each.agg(F.max(F.when(F.col("r") == 0, F.col("v"))).alias("estimate"), q.alias("q"), p.alias("p")).select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"), "p")
 
 
 def bootstrap_hierarchical(spark: SparkSession, rows: DataFrame, outer: str, item: str, a: str, b: str, label: str, replicates: int = 1000) -> DataFrame:

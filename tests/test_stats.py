@@ -116,6 +116,17 @@ def test_bootstrap_is_seeded(spark):
     assert a == b and a.lo < a.estimate < a.hi
 
 
+def test_bootstrap_of_any_number_of_units(spark, monkeypatch):
+    monkeypatch.setattr(A, "UNITS_MAX", 10)
+    x = np.random.default_rng(3).normal(5, 2, 3000).round(1)
+    df = spark.createDataFrame([(float(v), 1.0) for v in x], "t double, l double")
+    got = A.bootstrap_ratio(spark, df, "t", "l", "x").first()
+    again = A.bootstrap_ratio(spark, df.repartition(7), "t", "l", "x").first()
+    half = 1.96 * x.std() / len(x) ** 0.5
+    assert got == again and got.estimate == pytest.approx(x.mean())
+    assert (got.hi - got.lo) / 2 == pytest.approx(half, rel=0.1) and got.lo == pytest.approx(x.mean() - half, abs=half / 5)
+
+
 def test_holm_known_values(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "g string, k string, p double")
     got = {r.k: r.holm_p for r in A.holm(df, ["g"], "p", ["k"]).collect()}
