@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ END_ID = 1
 SENTENCE_CUT, INNER_CUT = 4, 16
 MARK_GAP = 48
 CHUNK = 1 << 20
-#: Distinct words remembered per worker, and slots of its hash table.
-WORDS_MAX, SLOTS = 1_000_000, 1 << 22
-PIECES_MAX = 400_000
+#: A worker forgets its words and pre-tokens when it knows more than this; what one block holds always fits.
+WORDS_MAX, PIECES_MAX = 1_000_000, 400_000
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 _encoders: dict[str, Encoder] = {}
@@ -41,9 +42,11 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Token ids by a tokenizer whose pre-tokens never cross ASCII white space, for many texts at once.
 
-    Words are found and hashed by numpy; a word seen before costs a probe of a hash table (bounded, emptied when
-    full).  New words are split into pre-tokens by the tokenizer's own normaliser and pattern, and only new
-    pre-tokens reach its model.  Texts holding a special token's string go through the tokenizer whole.
+    Words are found and hashed by numpy; a word seen before costs a probe of a hash table, which grows with the words
+    of a block.  New words of letters below U+0130, where lower case goes letter by letter, composition changes nothing
+    and the classes of letters and digits are settled, are split by the tokenizer's pattern here; all others by the
+    tokenizer's own normaliser and splitter, once.  Only new pre-tokens reach its model.  Texts holding a special token's
+    string go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,24 +62,45 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.n = 0
-        self.slot_key, self.slot_word = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.at = np.zeros(WORDS_MAX + 2, np.int64)
+        self.n, self.keys = 0, np.empty(0, np.uint64)
+        self.flat, self.at = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64)
+        self._table(1 << 17)
+
+    def _table(self, slots: int) -> None:
+        """A hash table of so many slots over the words known."""
+        self.slots = slots
+        self.slot_key, self.slot_word = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self._put(self.keys, np.arange(self.n, dtype=np.int32))
+
+    def _put(self, left: np.ndarray, number: np.ndarray) -> None:
+        slot = (left & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            free = self.slot_word[slot] < 0
+            _, first = np.unique(slot, return_index=True)
+            won = np.zeros(len(left), bool)
+            won[first] = True
+            won &= free
+            self.slot_key[slot[won]], self.slot_word[slot[won]] = left[won], number[won]
+            left, number, slot = left[~won], number[~won], (slot[~won] + 1) & (self.slots - 1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each word by its hash, -1 where it is new."""
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         out = self.slot_word[slot]
         wrong = np.flatnonzero((out >= 0) & (self.slot_key[slot] != keys))
         while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) & (SLOTS - 1)
+            slot[wrong] = (slot[wrong] + 1) & (self.slots - 1)
             out[wrong] = self.slot_word[slot[wrong]]
             wrong = wrong[(out[wrong] >= 0) & (self.slot_key[slot[wrong]] != keys[wrong])]
         return out
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
+    def own_ids(self, word: str) -> list[int]:
+        """The ids of one word by the tokenizer's own normaliser, splitter and model."""
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
+        return [t.id for piece, _ in split for t in self.tokenizer.model.tokenize(piece)]
+
+    def plain_ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of words in lower case without a letter from U+0130 on."""
         split = [self.pieces_of(w) for w in words]
         if len(self.pieces) > PIECES_MAX:
             self.pieces.clear()
@@ -85,55 +109,51 @@ class Encoder:
                 part = new[i : i + 256]
                 ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
                 ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) != len(part):
-                    raise ValueError("the tokenizer does not end each pre-token with its mark")
-                for p, lo, hi in zip(part, [0, *ends.tolist()], ends.tolist()):
-                    self.pieces[p] = ids[lo:hi]
+                if len(ends) == len(part):
+                    self.pieces.update((p, ids[lo:hi]) for p, lo, hi in zip(part, [0, *ends.tolist()], ends.tolist()))
+                else:
+                    self.pieces.update((p, self.own_ids(p)) for p in part)
         known = self.pieces
         return [known[s[0]] if len(s) == 1 else [i for p in s for i in known[p]] for s in split]
 
     def learn(self, words: list[bytes], keys: np.ndarray) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        low = "\n".join(texts)
-        if low.isascii() or max(low) < "\u0130":  # here lower() works letter by letter and NFC changes nothing
-            texts = low.lower().split("\n")
-        else:
-            texts = [t.lower() if t.isascii() else self.tokenizer.normalizer.normalize_str(t) for t in texts]
-        coded = self.ids_of(texts)
+        plain = [i for i, t in enumerate(texts) if t.isascii() or max(t) < "\u0130"]
+        coded: list[list[int]] = [[]] * len(texts)
+        if plain:
+            lower = "\n".join([texts[i] for i in plain]).lower().split("\n")
+            for i, ids in zip(plain, self.plain_ids(lower)):
+                coded[i] = ids
+        if len(plain) < len(texts):
+            for i in sorted(set(range(len(texts))) - set(plain)):
+                coded[i] = self.own_ids(texts[i])
         n, m = self.n, self.n + len(words)
-        np.cumsum([len(x) for x in coded], out=self.at[n + 1 : m + 1])
-        self.at[n + 1 : m + 1] += self.at[n]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.at = np.concatenate((self.at, self.at[n] + np.cumsum(size)))
         if self.at[m] > len(self.flat):
             self.flat = np.resize(self.flat, 2 * int(self.at[m]))
-        self.flat[self.at[n] : self.at[m]] = [i for x in coded for i in x]
-        self.n = m
-        left, number = keys, np.arange(n, m, dtype=np.int32)
-        slot = (left & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(left):
-            free = self.slot_word[slot] < 0
-            _, first = np.unique(slot, return_index=True)
-            won = np.zeros(len(left), bool)
-            won[first] = True
-            won &= free
-            self.slot_key[slot[won]], self.slot_word[slot[won]] = left[won], number[won]
-            left, number, slot = left[~won], number[~won], (slot[~won] + 1) & (SLOTS - 1)
+        self.flat[self.at[n] : self.at[m]] = np.fromiter((i for x in coded for i in x), np.uint32, int(size.sum()))
+        self.n, self.keys = m, np.concatenate((self.keys, keys))
+        if 2 * m > self.slots:
+            self._table(1 << (4 * m - 1).bit_length())
+        else:
+            self._put(keys, np.arange(n, m, dtype=np.int32))
 
     def encode(self, texts: list[bytes], end_id: int) -> Stream:
         """The ids of texts without special strings, each followed by ``end_id``, as one stream."""
         buf, offset = W.joined(texts)
         start, end = W.spans(buf)
         keys = W.hashes(buf, start, end)
+        if self.n > WORDS_MAX:
+            self.reset()
         word = self.find(keys)
         if (word < 0).any():
             fresh, first = np.unique(keys[word < 0], return_index=True)
             at = np.flatnonzero(word < 0)[first]
-            if self.n + len(fresh) > WORDS_MAX:
-                self.reset()
-                fresh, at = np.unique(keys, return_index=True)
             raw = buf.tobytes()
-            for i in range(0, len(fresh), WORDS_MAX // 2):
-                part = at[i : i + WORDS_MAX // 2]
-                self.learn([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())], fresh[i : i + WORDS_MAX // 2])
+            for i in range(0, len(fresh), 1 << 18):
+                part = at[i : i + (1 << 18)]
+                self.learn([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())], fresh[i : i + (1 << 18)])
             word = self.find(keys)
         size = self.at[word + 1] - self.at[word]
         doc = np.searchsorted(offset, start, "right") - 1
@@ -148,6 +168,19 @@ class Encoder:
         stop = STOPS[buf[end - 1]]
         return Stream(ids, doc_end, (done[1:] + doc)[stop])
 
+    def encode_long(self, text: bytes, end_id: int) -> Stream:
+        """``encode`` of one text in blocks cut at ASCII white space, so that its arrays stay small."""
+        ids, stops, at, done = [], [], 0, 0
+        while at < len(text):
+            gap = _BLANK.search(text, at + CHUNK)
+            to = gap.start() if gap else len(text)
+            part = self.encode([text[at:to]], end_id)
+            ids.append(part.ids[:-1])
+            stops.append(part.sentence_end + done)
+            done += len(part.ids) - 1
+            at = to
+        return Stream(np.concatenate([*ids, np.array([end_id], np.uint32)]), np.array([done + 1]), np.concatenate(stops))
+
     def encode_whole(self, text: bytes, end_id: int) -> Stream:
         """The ids of one text by the tokenizer itself."""
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -160,7 +193,8 @@ class Encoder:
             cut = 0
             for i in [*odd, len(run)]:
                 if cut < i:
-                    yield first + cut, first + i, self.encode(run[cut:i], end_id)
+                    long = i - cut == 1 and len(run[cut]) > 2 * CHUNK
+                    yield first + cut, first + i, self.encode_long(run[cut], end_id) if long else self.encode(run[cut:i], end_id)
                 if i < len(run):
                     yield first + i, first + i + 1, self.encode_whole(run[i], end_id)
                 cut = i + 1
@@ -170,7 +204,7 @@ class Stream:
     """Ids of consecutive documents, the ends of documents, and the cuts offered with their penalties."""
 
     def __init__(self, ids: np.ndarray, doc_end: np.ndarray, sentence_end: np.ndarray) -> None:
-        self.ids, self.doc_end = ids, doc_end
+        self.ids, self.doc_end, self.sentence_end = ids, doc_end, sentence_end
         stops = np.unique(np.concatenate((sentence_end[sentence_end > 0], doc_end)))
         gap = np.diff(stops, prepend=0)
         wide = np.flatnonzero(gap > MARK_GAP)

@@ -107,6 +107,28 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
 
 
+def _any_text(rng, top: int, n: int = 40) -> str:
+    """Code points below ``top``, unassigned ones and combining marks included, among blanks, contractions and digits."""
+    often = " \n'stredlvm0129aB.!\u0327\u0301\u0130\u0308"
+    points = [int(x) for x in rng.integers(0, top, n)]
+    return "".join(often[x % len(often)] if x % 3 == 0 or 0xD800 <= x < 0xE000 else chr(x) for x in points)
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    texts = [_any_text(RNG, top) for top in (0x250, 0x600, 0x3000, 0x10000, 0x20000, 0x110000) for _ in range(400)]
+    texts += ["abc B\u0558 def", "\u209eA", "x\u088fy", "\u0c5cS", "\u058b'", "\u0130\u0329", "\x85\xa0a\x1cb"]
+    texts.append(" ".join(f"w{i}x." for i in range(1_100_000)))  # 11 MB, over a million distinct words
+    for first, last, s in enc.streams([t.encode() for t in texts], 1):
+        ends = [0, *s.doc_end.tolist()]
+        for i in range(first, last):
+            got = s.ids[ends[i - first] : ends[i - first + 1]]
+            assert np.array_equal(got, [*tok.encode(texts[i], add_special_tokens=False).ids, 1]), texts[i][:99]
+    assert len(s.sentence_end) == 1_100_000 and s.at[-1] == len(s.ids) and np.diff(s.at).max() <= 2048
+
+
 def test_cuts_are_optimal():
     for _ in range(30):
         at = np.cumsum(RNG.integers(1, 9, 14))
