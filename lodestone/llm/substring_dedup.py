@@ -3,18 +3,21 @@
 A word goes when a window of ``WINDOW`` words over it also starts in a document with a smaller id.  Every window has
 a content-defined anchor, the least hash among its word 8-grams, so equal windows share an anchor and meet in one
 shard.  Consecutive windows of a document with one anchor form a region; regions of anchors found in one document
-only are never looked at again, and equal regions are reduced to their smallest document before anything is
-gathered.  Each shard builds a compressed FM-index of its regions and streams them against it by backward search;
-truncated matching statistics give, for every window, the smallest document that holds it.
+only are never looked at again, and equal regions are indexed once, for their smallest document.  Each shard builds a
+compressed FM-index of its regions and streams them against it by backward search; truncated matching statistics
+give, for every window, the smallest document that holds it, and nothing else decides what goes.
 
-An anchor with more than ``HOT`` different regions (the rim of a passage that very many documents share) is not
-gathered: its windows are keyed one by one and reduced with partial sums.
+An anchor with more than ``SPLIT`` different regions (the rim of a passage that very many documents share) is split
+over shards: its regions are cut again by anchors of longer word grams, and last by whole windows, of which an anchor
+has one text.  Equal windows still meet, and parts that only one document holds drop out on the way.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from lodestone.llm.fmindex import FMIndex
 WINDOW = 50
 GRAM = 8
 REGION_MAX = 64
-HOT = 512
+SPLIT = 128
 SHARD_WORDS = 400_000
 CHUNK = 1 << 20
 
@@ -42,7 +45,7 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
-def regions(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+def regions(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, start word, number of windows, anchor, content hash) of every region of the texts."""
     buf, at = W.joined(texts)
     begin, end = W.spans(buf)
@@ -50,7 +53,7 @@ def regions(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
     if len(h) < window:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     doc = np.searchsorted(at, begin, "right") - 1
-    anchor = sliding_min(W.window_hashes(h, GRAM), window - GRAM + 1)
+    anchor = sliding_min(W.window_hashes(h, gram), window - gram + 1)
     inside = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :])
     a, d = anchor[inside], doc[inside]
     new = np.ones(len(inside), bool)
@@ -86,33 +89,51 @@ def _find(window: int):
     return run
 
 
+def _slices(b: pa.RecordBatch, window: int) -> Iterator[tuple[int, dict, bytes]]:
+    """(row, region, its words) for rows (doc, row, wanted, text)."""
+    for i, (wanted, text) in enumerate(zip(b.column(2).to_pylist(), utf8(b.column(3)))):
+        split = text.split()
+        for w in wanted:
+            yield i, w, b" ".join(split[w["start"] : w["start"] + w["n"] + window - 1])
+
+
 def _texts(window: int):
-    """Rows (row, wanted, text) to the words of each wanted region; hot regions give window hashes instead."""
+    """Rows (doc, row, wanted, text) to the words of each wanted region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(w["anchor"], w["content"], i, w["top"], words) for i, w, words in _slices(b, window)]
+            anchor, content, own, top, words = zip(*out) if out else [[]] * 5
+            kind = b.schema.field(0).type
+            columns = [pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), b.column(0).take(pa.array(own, pa.int64())), pa.array(top, kind), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "least", "top", "words"])
+
+    return run
+
+
+def _split(window: int, gram: int):
+    """Rows (doc, row, wanted, text) to the regions by grams of ``gram`` words inside each wanted region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for doc, wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                split = text.split()
-                hashes = None
-                for w in wanted:
-                    lo, hi = w["start"], w["start"] + w["n"] + window - 1
-                    if w["hot"]:
-                        if hashes is None:
-                            buf, _ = W.joined([text])
-                            hashes = W.window_hashes(W.hashes(buf, *W.spans(buf)), window)
-                        out.append((w["anchor"], w["content"], doc, None, hashes[lo : lo + w["n"]].view(np.int64)))
-                    else:
-                        out.append((w["anchor"], w["content"], doc, b" ".join(split[lo:hi]), None))
-            kinds = [pa.int64(), pa.int64(), b.schema.field(0).type, pa.binary(), pa.list_(pa.int64())]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "content", "least", "words", "hashes"])
+            rows, wanted, words = [list(x) for x in zip(*_slices(b, window))] or [[]] * 3
+            kind = b.schema.field(0).type
+            for first, texts in in_bytes(words, CHUNK):
+                at, start, n, anchor, content = regions(texts, window, gram)
+                own = [wanted[first + i] for i in at.tolist()]
+                row = pa.array([rows[first + i] for i in at.tolist()], pa.int64())
+                absolute = np.array([w["start"] for w in own], np.int64) + start
+                columns = [
+                    b.column(0).take(row), b.column(1).take(row), pa.array([w["top"] for w in own], kind), _signed(anchor), _signed(content), pa.array(absolute.astype(np.int32)),
+                    pa.array(n.astype(np.int32)), pa.array([w["anchor"] for w in own], pa.int64()), pa.array([w["content"] for w in own], pa.int64()), pa.array(start.astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "top", "anchor", "content", "start", "n", "in_anchor", "in_content", "in_at"])
 
     return run
 
 
 def matched(texts: list[bytes], owner: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each region text, the offsets of the windows that a region with a smaller owner also holds."""
+    """For each region text, the smallest owner of a region that holds the window at each of its places."""
     if not texts:
         return []
     buf, at = W.joined(texts)
@@ -127,59 +148,108 @@ def matched(texts: list[bytes], owner: np.ndarray, window: int = WINDOW) -> list
     size = np.bincount(doc, minlength=len(texts))
     start = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
     least = FMIndex(text, int(symbol.max()) + 2, owners, window).least_owner(text, start, size)
-    return [np.flatnonzero(least[s : s + n] < o) for s, n, o in zip(start.tolist(), size.tolist(), owner.tolist())]
+    return [least[s : s + max(0, n - window + 1)] for s, n in zip(start.tolist(), size.tolist())]
+
+
+def _ranks(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct ids of several columns in order, and each column as places among them."""
+    kind = columns[0].type
+    raw = [c.to_numpy() if pa.types.is_integer(kind) else np.array(c.to_pylist(), object) for c in columns]
+    values, place = np.unique(np.concatenate(raw), return_inverse=True)
+    return pa.array(values.tolist(), kind), np.split(place, np.cumsum([len(r) for r in raw])[:-1])
 
 
 def _shard(window: int):
-    """One partition is one shard: index its regions, stream them, return the offsets that match smaller owners."""
+    """One partition is one shard: index its regions, stream them, return runs of windows that smaller owners hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        found = matched(t.column("words").to_pylist(), t.column("rank").to_numpy(), window)
-        hit = [i for i, f in enumerate(found) if len(f)]
+        values, (least, top) = _ranks(t.column("least"), t.column("top"))
+        found = matched(t.column("words").to_pylist(), least, window)
+        size = np.array([len(f) for f in found])
+        region, low = np.repeat(np.arange(len(found)), size), np.concatenate(found)
+        at = np.arange(len(low)) - np.repeat(np.cumsum(size) - size, size)
+        new = np.ones(len(low), bool)
+        new[1:] = (region[1:] != region[:-1]) | (low[1:] != low[:-1])
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(low)))
+        keep = low[head] < top[region[head]]
+        head, n = head[keep], n[keep]
+        hit, first = np.unique(region[head], return_index=True)
+        runs = pa.StructArray.from_arrays([pa.array(at[head].astype(np.int32)), pa.array(n.astype(np.int32)), values.take(pa.array(low[head]))], names=["at", "n", "low"])
         rows = t.select(["anchor", "content"]).take(pa.array(hit, pa.int64())).combine_chunks()
-        hits = pa.array([found[i].astype(np.int32) for i in hit], pa.list_(pa.int32()))
-        yield from pa.table([rows.column(0), rows.column(1), hits], names=["anchor", "content", "hits"]).to_batches()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(head)).astype(np.int32)), runs)
+        yield from pa.table([rows.column(0), rows.column(1), lists], names=["anchor", "content", "runs"]).to_batches()
 
     return run
 
 
-def repeated_words(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(doc, row, cuts): word intervals [lo, hi) of each document row that are covered by repeated windows.
+@dataclass
+class _Level:
+    """Regions of one gram size that may be shared, their distinct texts, and the anchors to split."""
 
-    ``row`` is the xxhash32-wide part of the text's hash, which keeps rows that repeat an id apart.
-    """
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    found = stage(spark, src.mapInArrow(lean(_find(window)), "doc long, row long, anchor long, content long, start int, n int"), "regions")
-    shared = stage(spark, found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor"), "shared-anchors")
-    cand = stage(spark, found.join(shared, "anchor", "left_semi"), "shared-regions")
+    rows: DataFrame
+    distinct: DataFrame
+    hot: DataFrame | None
+
+
+def _level(spark: SparkSession, found: DataFrame, top: str, split: int | None) -> _Level:
+    """Reduce regions to those whose anchor several documents hold; ``top`` is the largest document of each."""
+    shared = stage(spark, found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max(top).alias("b")).filter("a < b").select("anchor"), "shared-anchors")
+    rows = stage(spark, found.join(shared, "anchor", "left_semi"), "shared-regions")
     drop_staged(spark, found, shared)
     least = F.min(F.struct("doc", "row", "start", "n")).alias("m")
-    distinct = stage(spark, cand.groupBy("anchor", "content").agg(least).select("anchor", "content", "m.*"), "distinct-regions")
-    many = stage(spark, distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > hot).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    wanted = F.collect_list(F.struct("anchor", "content", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
-    supply = distinct.join(many, "anchor", "left").groupBy("doc", "row").agg(wanted)
-    texts = src.join(supply.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "wanted", "text")
-    texts = stage(spark, texts.mapInArrow(lean(_texts(window)), "anchor long, content long, least long, words binary, hashes array<long>"), "region-texts")
-    n_words = distinct.agg(F.sum(F.col("n") + F.lit(window))).first()[0] or 0
+    distinct = stage(spark, rows.groupBy("anchor", "content").agg(least, F.max(top).alias("top")).select("anchor", "content", "m.*", "top"), "distinct-regions")
+    if split is None:
+        return _Level(rows, distinct, None)
+    return _Level(rows, distinct, stage(spark, distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > split).select("anchor"), "split-anchors"))
+
+
+def repeated_words(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, split: int = SPLIT) -> DataFrame:
+    """(doc, row, cuts): word intervals [lo, hi) of each document row that are covered by repeated windows.
+
+    ``row`` is the hash of the text, which keeps rows that repeat an id apart.  Ids may be of any type with an order.
+    """
+    src = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
+    kind = src.schema["doc"].dataType.simpleString()
+
+    def with_text(regions: DataFrame) -> DataFrame:
+        supply = regions.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "top")).alias("wanted"))
+        return src.join(supply.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "wanted", "text")
+
+    found = stage(spark, src.mapInArrow(lean(_find(window)), f"doc {kind}, row long, anchor long, content long, start int, n int"), "regions")
+    levels = [_level(spark, found, "doc", split)]
+    for gram, limit in (((GRAM + window) // 2, split), (window, None)):
+        before = levels[-1]
+        if not before.hot.take(1):
+            break
+        fields = f"doc {kind}, row long, top {kind}, anchor long, content long, start int, n int, in_anchor long, in_content long, in_at int"
+        parts = with_text(before.distinct.join(before.hot, "anchor", "left_semi")).mapInArrow(lean(_split(window, gram)), fields)
+        levels.append(_level(spark, stage(spark, parts, "split-regions"), "top", limit))
+
+    leaves = [x.distinct if x.hot is None else x.distinct.join(x.hot, "anchor", "left_anti") for x in levels]
+    texts = with_text(reduce(DataFrame.unionAll, leaves))
+    texts = stage(spark, texts.mapInArrow(lean(_texts(window)), f"anchor long, content long, least {kind}, top {kind}, words binary"), "region-texts")
+    n_words = sum(x.agg(F.sum(F.col("n") + F.lit(window))).first()[0] or 0 for x in leaves)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // SHARD_WORDS))
-    gathered = texts.filter("words is not null").select("anchor", "content", "words", F.col("least").alias("rank")).repartition(shards, "anchor")
-    hits = gathered.mapInArrow(lean(_shard(window)), "anchor long, content long, hits array<int>")
-    single = texts.filter("hashes is not null").select("anchor", "content", "least", F.posexplode("hashes").alias("at", "h"))
-    lowest = single.groupBy("anchor", "h").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("anchor", "h", "low")
-    late = single.join(lowest, ["anchor", "h"]).filter("least > low").groupBy("anchor", "content").agg(F.sort_array(F.collect_list("at")).alias("hits"))
-    hits = stage(spark, hits.unionByName(late), "window-hits")
-    owner = distinct.select("anchor", "content", F.col("doc").alias("least"))
-    decided = stage(spark, owner.join(hits, ["anchor", "content"], "left"), "decided")
-    drop_staged(spark, distinct, many, texts, hits)
-    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + (window - 1)).alias("hi")))
-    some = F.transform("hits", lambda i: F.struct((F.col("start") + i).alias("lo"), (F.col("start") + i + window).alias("hi")))
-    cuts = cand.join(decided, ["anchor", "content"]).select("doc", "row", F.when(F.col("doc") > F.col("least"), whole).otherwise(some).alias("cuts")).filter("cuts is not null")
+    hits = texts.repartition(shards, "anchor").mapInArrow(lean(_shard(window)), f"anchor long, content long, runs array<struct<at:int,n:int,low:{kind}>>")
+    hits = stage(spark, hits, "window-hits")
+    drop_staged(spark, texts)
+    for x in levels[:0:-1]:
+        moved = F.transform("runs", lambda r: F.struct((r["at"] + F.col("in_at")).alias("at"), r["n"].alias("n"), r["low"].alias("low"))).alias("runs")
+        inner = x.rows.join(hits, ["anchor", "content"]).select(F.col("in_anchor").alias("anchor"), F.col("in_content").alias("content"), moved)
+        inner = inner.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        above = stage(spark, hits.unionAll(inner), "window-hits")
+        drop_staged(spark, hits)
+        hits = above
+    smaller = F.filter("runs", lambda r: r["low"] < F.col("doc"))
+    cuts = F.transform(smaller, lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + (window - 1)).alias("hi"))).alias("cuts")
+    cuts = levels[0].rows.join(hits, ["anchor", "content"]).select("doc", "row", cuts).filter("size(cuts) > 0")
     out = stage(spark, cuts.groupBy("doc", "row").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "word-cuts")
-    drop_staged(spark, cand, decided)
+    drop_staged(spark, hits, *[t for x in levels for t in (x.rows, x.distinct, x.hot) if t is not None])
     return out
 
 
@@ -222,7 +292,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     cuts = repeated_words(spark, docs, id_col, text_col, window)
     text = F.col(f"`{text_col}`")
-    src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
     both = src.join(cuts.hint("merge"), ["doc", "row"], "left").select(*[f"k{i}" for i in range(len(keep))], "cuts", "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(keep)])
     out = both.mapInArrow(lean(_kept(with_text, len(keep))), f"{fields}, n_words long, n_removed long, kept string")

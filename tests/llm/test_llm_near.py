@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -193,13 +194,12 @@ def _passages():
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_substring_dedup(spark, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("split", [substring_dedup.SPLIT, 3, 0])
+def test_substring_dedup(spark, split):
     rows = _passages()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("anchor", F.lit(0))
-    if hot == 3:
-        cuts = substring_dedup.repeated_words(spark, df.repartition(4), "doc_id", "text", hot=hot)
+    if split < substring_dedup.SPLIT:
+        cuts = substring_dedup.repeated_words(spark, df.repartition(4), "doc_id", "text", split=split)
         want = {(d, n) for d, _, n, _ in _removed(rows) if n}
         got = {(r.doc, len({j for c in r.cuts for j in range(c.lo, c.hi)})) for r in cuts.collect()}
         assert got == want
@@ -209,6 +209,22 @@ def test_substring_dedup(spark, hot, monkeypatch):
         assert substring_dedup.substring_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_substring_dedup_takes_text_ids(spark):
+    rows = [(d and f"id-{d:05d}", t) for d, t in _passages()]
+    got = substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == _removed(rows)
+
+
+def test_every_cut_comes_from_matching_statistics(spark, monkeypatch):
+    """Without the answers of the shards nothing is removed, exact copies included."""
+    monkeypatch.setattr(substring_dedup, "_shard", lambda window: lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, RUNS)], names=["anchor", "content", "runs"]) for b in batches))
+    df = spark.createDataFrame(_passages(), "doc_id long, text string")
+    assert substring_dedup.repeated_words(spark, df, "doc_id", "text", split=3).count() == 0
+
+
+RUNS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("low", pa.int64())]))
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     text = np.concatenate((rng.integers(1, 4, 300), [0], rng.integers(1, 4, 200), [0]))
@@ -237,5 +253,5 @@ def test_matches_of_a_shard():
     got = substring_dedup.matched(texts, owner)
     split = [t.split() for t in texts]
     for i, w in enumerate(split):
-        want = [k for k in range(len(w) - 49) if any(owner[j] < owner[i] and w[k : k + 50] == v[m : m + 50] for j, v in enumerate(split) for m in range(len(v) - 49))]
+        want = [min(owner[j] for j, v in enumerate(split) for m in range(len(v) - 49) if w[k : k + 50] == v[m : m + 50]) for k in range(len(w) - 49)]
         assert got[i].tolist() == want
