@@ -62,37 +62,8 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.n, self.keys = 0, np.empty(0, np.uint64)
+        self.n, self.table = 0, W.Table()
         self.flat, self.at = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64)
-        self._table(1 << 17)
-
-    def _table(self, slots: int) -> None:
-        """A hash table of so many slots over the words known."""
-        self.slots = slots
-        self.slot_key, self.slot_word = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
-        self._put(self.keys, np.arange(self.n, dtype=np.int32))
-
-    def _put(self, left: np.ndarray, number: np.ndarray) -> None:
-        slot = (left & np.uint64(self.slots - 1)).astype(np.int64)
-        while len(left):
-            free = self.slot_word[slot] < 0
-            _, first = np.unique(slot, return_index=True)
-            won = np.zeros(len(left), bool)
-            won[first] = True
-            won &= free
-            self.slot_key[slot[won]], self.slot_word[slot[won]] = left[won], number[won]
-            left, number, slot = left[~won], number[~won], (slot[~won] + 1) & (self.slots - 1)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each word by its hash, -1 where it is new."""
-        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
-        out = self.slot_word[slot]
-        wrong = np.flatnonzero((out >= 0) & (self.slot_key[slot] != keys))
-        while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) & (self.slots - 1)
-            out[wrong] = self.slot_word[slot[wrong]]
-            wrong = wrong[(out[wrong] >= 0) & (self.slot_key[slot[wrong]] != keys[wrong])]
-        return out
 
     def own_ids(self, word: str) -> list[int]:
         """The ids of one word by the tokenizer's own normaliser, splitter and model."""
@@ -133,11 +104,8 @@ class Encoder:
         if self.at[m] > len(self.flat):
             self.flat = np.resize(self.flat, 2 * int(self.at[m]))
         self.flat[self.at[n] : self.at[m]] = np.fromiter((i for x in coded for i in x), np.uint32, int(size.sum()))
-        self.n, self.keys = m, np.concatenate((self.keys, keys))
-        if 2 * m > self.slots:
-            self._table(1 << (4 * m - 1).bit_length())
-        else:
-            self._put(keys, np.arange(n, m, dtype=np.int32))
+        self.n = m
+        self.table.put(keys, np.arange(n, m))
 
     def encode(self, texts: list[bytes], end_id: int) -> Stream:
         """The ids of texts without special strings, each followed by ``end_id``, as one stream."""
@@ -146,7 +114,7 @@ class Encoder:
         keys = W.hashes(buf, start, end)
         if self.n > WORDS_MAX:
             self.reset()
-        word = self.find(keys)
+        word = self.table.find(keys)
         if (word < 0).any():
             fresh, first = np.unique(keys[word < 0], return_index=True)
             at = np.flatnonzero(word < 0)[first]
@@ -154,7 +122,7 @@ class Encoder:
             for i in range(0, len(fresh), 1 << 18):
                 part = at[i : i + (1 << 18)]
                 self.learn([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())], fresh[i : i + (1 << 18)])
-            word = self.find(keys)
+            word = self.table.find(keys)
         size = self.at[word + 1] - self.at[word]
         doc = np.searchsorted(offset, start, "right") - 1
         before = np.searchsorted(start, offset[1:])  # words up to the end of each document

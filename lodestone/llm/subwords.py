@@ -25,12 +25,15 @@ from lodestone.llm.common import in_bytes, lean, utf8
 SAMPLES, ALPHA = 2, 0.25
 CHUNK = 1 << 19
 BYTE_0 = 3
-SLOTS = 1 << 18
+NONE, PREFIX = -1, -2
+#: A worker forgets its word lattices when they have more nodes than this.
+NODES_MAX = 3_000_000
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
 class Vocabulary:
-    """Pieces of a model with byte fallback: lookup by hash, scores, and bytes for decoding."""
+    """Pieces of a model with byte fallback: their scores, bytes for decoding, and a table of hashed bytes that gives a
+    piece's id, or ``PREFIX`` for what only begins pieces."""
 
     def __init__(self, path: str, alpha: float) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -47,27 +50,12 @@ class Vocabulary:
         self.size = np.array([len(x) for x in raw])
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
-        self.lengths = np.unique(self.size[whole])
-        buf = np.frombuffer(b"".join(raw[i] for i in whole), np.uint8)
-        end = np.cumsum([len(raw[i]) for i in whole])
-        keys = W.hashes(buf, np.concatenate(([0], end[:-1])), end)
-        self.keys, self.ids = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
-        for k, i in zip(keys.tolist(), whole):
-            s = k & (SLOTS - 1)
-            while self.ids[s] >= 0:
-                s = (s + 1) & (SLOTS - 1)
-            self.keys[s], self.ids[s] = k, i
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The id of each hashed piece, or -1."""
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = self.ids[slot]
-        wrong = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
-        while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) & (SLOTS - 1)
-            out[wrong] = self.ids[slot[wrong]]
-            wrong = wrong[(out[wrong] >= 0) & (self.keys[slot[wrong]] != keys[wrong])]
-        return out
+        self.longest = int(self.size[whole].max())
+        starts = {raw[i][:k]: PREFIX for i in whole for k in range(1, len(raw[i]))} | {raw[i]: i for i in whole}
+        end = np.cumsum([len(x) for x in starts])
+        keys = W.hashes(np.frombuffer(b"".join(starts), np.uint8), np.concatenate(([0], end[:-1])), end)
+        self.table = W.Table(NONE)
+        self.table.put(keys, np.array(list(starts.values())))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, without the blank that encoding puts first."""
@@ -85,17 +73,49 @@ def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     return _vocabularies[path, alpha]
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.held, self.n = np.empty(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        to = self.n + len(more)
+        if to > len(self.held):
+            self.held = np.resize(self.held, 2 * to)
+        self.held[self.n : to] = more
+        self.n = to
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Lattices:
-    """Lattices of the distinct words of some texts.
+    """Lattices of distinct words, kept from block to block.
 
-    Words start at a blank after another byte, and around line feeds.  ``token`` is the word of each place in the
-    texts and ``of`` the first place of each text.  A node is a byte offset in a word, an edge a piece (``piece``, or
-    -1 for the bytes of a character) into its end node; edges are sorted by end node and ``cumulative`` runs over
-    their probabilities given the end node.
+    Words start at a blank after another byte, and around line feeds.  A node is a byte offset in a word (``base`` to
+    ``last``), an edge a piece (``piece``, or -1 for the bytes of a character) into its end node; edges are sorted by
+    end node (those of node n from ``head[n]``) and ``cumulative`` runs over their probabilities given the end node.
     """
 
-    def __init__(self, v: Vocabulary, texts: list[bytes]) -> None:
+    def __init__(self, v: Vocabulary) -> None:
         self.v = v
+        self.reset()
+
+    def reset(self) -> None:
+        self.known = W.Table()
+        kinds = {"base": np.int64, "last": np.int64, "text": np.uint8, "head": np.int64, "begin": np.int32, "end": np.int32, "piece": np.int32, "log_p": np.float64, "cumulative": np.float64, "n_ids": np.int32}
+        self._columns = {k: _Column(t) for k, t in kinds.items()}
+        self._columns["head"].extend(np.zeros(1, np.int64))
+        self._view()
+
+    def _view(self) -> None:
+        for k, c in self._columns.items():
+            setattr(self, k, c.all)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each place in the texts, and the first place of each text (one more at the end)."""
         padded = [b" " + t if t else b"" for t in texts]
         buf = np.frombuffer(b"".join(padded), np.uint8)
         at = np.concatenate(([0], np.cumsum([len(t) for t in padded])))
@@ -104,15 +124,27 @@ class Lattices:
         new[at[:-1][np.diff(at) > 0]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(buf))[: len(start)]
-        self.of = np.searchsorted(start, at)
-        _, first, self.token = np.unique(W.hashes(buf, start, end), return_index=True, return_inverse=True)
-        size = (end - start)[first]
-        self.base = np.concatenate(([0], np.cumsum(size + 1)))
-        n = int(self.base[-1])
+        if len(self.text) > NODES_MAX:
+            self.reset()
+        keys = W.hashes(buf, start, end)
+        word = self.known.find(keys)
+        if (word < 0).any():
+            fresh, first = np.unique(keys[word < 0], return_index=True)
+            at_first = np.flatnonzero(word < 0)[first]
+            self.known.put(fresh, len(self.base) + np.arange(len(fresh)))
+            self._build(buf, start[at_first], (end - start)[at_first])
+            word = self.known.find(keys)
+        return word, np.searchsorted(start, at)
+
+    def _build(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Append the lattices of words."""
+        v = self.v
+        base = np.concatenate(([0], np.cumsum(size + 1)))
+        n = int(base[-1])
         offset = np.arange(n - len(size)) - np.repeat(np.cumsum(size) - size, size)
-        node = np.repeat(self.base[:-1], size) + offset
-        own = buf[np.repeat(start[first], size) + offset]
-        self.last = self.base[1:] - 1
+        node = np.repeat(base[:-1], size) + offset
+        own = buf[np.repeat(start, size) + offset]
+        last = base[1:] - 1
         text = np.zeros(n, np.uint8)
         text[node] = own
         room = np.repeat(size, size) - offset
@@ -123,56 +155,69 @@ class Lattices:
         wide = np.minimum(wide, room)
         covered = np.zeros(len(node), bool)
         begins, ends, pieces = [], [], []
-        for k in v.lengths.tolist():
-            i = np.flatnonzero((room >= k) & lead)
-            if not len(i):
-                continue
-            s = node[i]
-            got = v.find(W.mix((total[s + k] - total[s]) * inverse[s]))
+        live = np.flatnonzero(lead)
+        for k in range(1, v.longest + 1):
+            s = node[live]
+            got = v.table.find(W.mix((total[s + k] - total[s]) * inverse[s]))
             hit = np.flatnonzero(got >= 0)
-            covered[i[hit[wide[i[hit]] == k]]] = True
+            covered[live[hit[wide[live[hit]] == k]]] = True
             begins.append(s[hit]), ends.append(s[hit] + k), pieces.append(got[hit])
+            live = live[(got != NONE) & (room[live] > k)]
+            if not len(live):
+                break
         bare = np.flatnonzero(lead & ~covered)
         begins.append(node[bare]), ends.append(node[bare] + wide[bare]), pieces.append(np.full(len(bare), -1, np.int32))
         b, e, p = np.concatenate(begins), np.concatenate(ends), np.concatenate(pieces)
-        depth = np.zeros(n, np.int64)
-        depth[node] = offset
-        depth[self.last] = size
-        order = np.lexsort((e, depth[e]))
+        order = np.argsort(e * 64 + (e - b))
         b, e, p = b[order], e[order], p[order]
         weight = np.where(p >= 0, v.score[p], v.score[BYTE_0] * (e - b))
+        depth = np.zeros(n, np.int64)
+        depth[node] = offset
+        depth[last] = size
+        deep = depth[e]
+        order = np.argsort(deep.astype(np.uint16) if len(deep) and deep.max() < 1 << 16 else deep, kind="stable")
         alpha = np.full(n, -np.inf)
-        alpha[self.base[:-1]] = 0
+        alpha[base[:-1]] = 0
         # Edges by depth of their end: the forward pass goes through all words together.
-        level = np.flatnonzero(np.concatenate(([True], depth[e[1:]] != depth[e[:-1]]))) if len(e) else np.empty(0, int)
-        for lo, hi in zip(level.tolist(), [*level[1:].tolist(), len(e)]):
-            x = alpha[b[lo:hi]] + weight[lo:hi]
-            head = np.flatnonzero(np.concatenate(([True], e[lo + 1 : hi] != e[lo : hi - 1])))
+        bd, ed, wd = b[order], e[order], weight[order]
+        level = np.searchsorted(deep[order], np.arange(int(deep.max(initial=0)) + 2))
+        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist()):
+            if lo == hi:
+                continue
+            x = alpha[bd[lo:hi]] + wd[lo:hi]
+            head = np.flatnonzero(np.concatenate(([True], ed[lo + 1 : hi] != ed[lo : hi - 1])))
             top = np.maximum.reduceat(x, head)
             top = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
-                alpha[e[lo:hi][head]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(head, len(x))))), head))
-        order = np.argsort(e, kind="stable")
-        self.begin, self.end, self.piece, weight = b[order], e[order], p[order], weight[order]
+                alpha[ed[lo:hi][head]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(head, len(x))))), head))
         with np.errstate(invalid="ignore"):
-            self.log_p = np.nan_to_num(alpha[self.begin] + weight - alpha[self.end], nan=-np.inf)
-        self.cumulative = np.cumsum(np.exp(self.log_p))
-        self.head = np.searchsorted(self.end, np.arange(n + 1))
-        self.text, self.n_ids = text, np.where(self.piece >= 0, 1, self.end - self.begin)
-
-    def sample(self, noise) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a random path at every place, in text order, and where each place's edges begin.
+            log_p = np.nan_to_num(alpha[b] + weight - alpha[e], nan=-np.inf)
+        n_nodes, n_edges = len(self.text), len(self.begin)
+        so_far = self.cumulative[-1] if n_edges else 0.0
+        more = {
+            "base": base[:-1] + n_nodes, "last": last + n_nodes, "text": text, "head": np.cumsum(np.bincount(e, minlength=n)) + n_edges, "begin": b + n_nodes,
+            "end": e + n_nodes, "piece": p, "log_p": log_p, "cumulative": np.cumsum(np.exp(log_p)) + so_far, "n_ids": np.where(p >= 0, 1, e - b),
+        }
+        for k, x in more.items():
+            self._columns[k].extend(x)
+        self._view()
+
+    def sample(self, words: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a random path of each word, in text order, and where each word's edges begin.
 
         ``noise(places, step)`` gives uniform numbers; paths are drawn from the last node to the first.
         """
-        place = np.argsort(self.token, kind="stable")  # neighbours search close by
-        node, floor = self.last[self.token[place]], self.base[self.token[place]]
+        place = np.argsort(words)  # neighbours search close by
+        node, floor = self.last[words[place]], self.base[words[place]]
         steps, count = [], np.zeros(len(place) + 1, np.int64)
         while len(place):
             lo, hi = self.head[node], self.head[node + 1] - 1
             below = np.where(lo > 0, self.cumulative[lo - 1], 0.0)
             aim = below + noise(place, len(steps)) * (self.cumulative[hi] - below)
-            edge = np.clip(np.searchsorted(self.cumulative, aim, "right"), lo, hi)
+            edge, go = lo, np.flatnonzero(lo < hi)  # nodes have two edges on average
+            while len(go := go[self.cumulative[edge[go]] <= aim[go]]):
+                edge[go] += 1
+                go = go[edge[go] < hi[go]]
             steps.append((place, edge))
             count[place + 1] += 1
             node = self.begin[edge]
@@ -228,37 +273,37 @@ def _uniform(key: np.ndarray) -> np.ndarray:
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def segmentations(v: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def segmentations(v: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int = SAMPLES, lat: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Up to ``k`` distinct segmentations per text: (ids, log-probability, perturbed score, inclusion probability).
 
     Fewer where the text has no more.  The inclusion probability is that of being among the ``k`` best given the
-    next best perturbed score.  Equal seeds and texts give equal results in any batch.
+    next best perturbed score.  Equal seeds and texts give equal results in any batch.  ``lat`` keeps lattices between
+    calls.
     """
-    lat = Lattices(v, texts)
-    n_places = np.diff(lat.of)
-    seed = np.repeat(seeds.astype(np.uint64), n_places)
-    nth = (np.arange(len(lat.token)) - np.repeat(lat.of[:-1], n_places)).astype(np.uint64)
+    lat = lat or Lattices(v)
+    token, of = lat.words(texts)
+    seeds = seeds.astype(np.uint64)
     base = lat.log_p
     found: list[list[tuple]] = [[] for _ in texts]
-    heaps: list[list] = [[] for _ in texts]
-    top = -np.log(-np.log(_uniform(seeds.astype(np.uint64) ^ _C[2])))
-    for i in range(len(texts)):
-        heaps[i] = [(-float(top[i]), 0, None)]
-    for turn in range(k + 1):
+    top = -np.log(-np.log(_uniform(seeds ^ _C[2])))
+    heaps: list[list] = [[(-g, 0, None)] for g in top.tolist()]
+    for turn in range(k):
         salt = np.uint64((turn + 1) * int(_C[0]) % 2**64)
-        if turn < k:
-            edges, at = lat.sample(lambda p, step: _uniform((seed[p] + salt) ^ (nth[p] * _C[1] + np.uint64(step * int(_C[2]) % 2**64))))
-            exp_noise = np.log(-np.log(_uniform((seed + salt) ^ (nth * _C[0] + _C[2]))))
-        for i in range(len(texts)):
-            if not heaps[i]:
-                continue
-            bound, _, node = heaps[i][0]
-            if turn == k:
-                continue
-            heapq.heappop(heaps[i])
-            a, b = int(lat.of[i]), int(lat.of[i + 1])
-            lo = int(at[a])
-            fresh, cut = edges[lo : at[b]], at[a : b + 1] - lo
+        salted = seeds + salt
+        # The words to draw anew: all of a text at first, then those after the word that changes.
+        live = [i for i in range(len(texts)) if heaps[i]]
+        nodes = [heapq.heappop(heaps[i]) for i in live]
+        begin = np.array([of[i] + (0 if node is None else node[2] + 1) for i, (_, _, node) in zip(live, nodes)], np.int64)
+        size = of[np.array(live, np.int64) + 1] - begin
+        row = np.repeat(np.array(live, np.int64), size)
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if live else 0) + np.repeat(begin - (ends - size), size)
+        seed, nth = salted[row], (place - of[row]).astype(np.uint64)
+        edges, at = lat.sample(token[place], lambda p, step: _uniform(seed[p] ^ (nth[p] * _C[1] + np.uint64(step * int(_C[2]) % 2**64))))  # noqa: B023
+        for i, (bound, _, node), lo_word, n in zip(live, nodes, (ends - size).tolist(), size.tolist()):
+            a, b = int(of[i]), int(of[i + 1])
+            lo = int(at[lo_word])
+            fresh, cut = edges[lo : at[lo_word + n]], at[lo_word : lo_word + n + 1] - lo
             if node is None:
                 path, cuts, j, avoid = fresh, cut, 0, []
             else:
@@ -269,28 +314,31 @@ def segmentations(v: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int =
                     count[0] += 1
                     return float(_uniform(np.array([(int(seeds[i]) + int(salt) + 7919 * count[0]) & (2**64 - 1)], np.uint64) ^ _C[1])[0])  # noqa: B023
 
-                swap = lat.other(int(lat.token[a + j]), avoid, draw)
-                tail = fresh[cut[j + 1] :]
-                path = np.concatenate((old[: old_cuts[j]], np.array(swap, np.int64), tail))
-                cuts = np.concatenate((old_cuts[: j + 1], old_cuts[j] + len(swap) + (cut[j + 1 :] - cut[j + 1])))
+                swap = lat.other(int(token[a + j]), avoid, draw)
+                path = np.concatenate((old[: old_cuts[j]], np.array(swap, np.int64), fresh))
+                cuts = np.concatenate((old_cuts[: j + 1], old_cuts[j] + len(swap) + cut))
             log_p = base[path]
             found[i].append((path, float(log_p.sum()), -bound))
-            if b > a and (need := k + 1 - len(found[i])) > 0:
+            need = k + 1 - len(found[i])
+            if b > a and need > 0:
                 each = np.add.reduceat(log_p, cuts[:-1])
-                before = np.concatenate(([0.0], np.cumsum(each)[:-1]))
-                gone = np.exp(each)
+                before = np.cumsum(each[j:]) - each[j:] + each[:j].sum()
+                gone = np.exp(each[j:])
                 if avoid:
-                    gone[j] += sum(np.exp(base[p].sum()) for p in avoid)
+                    gone[0] += sum(np.exp(base[p].sum()) for p in avoid)
                 with np.errstate(divide="ignore"):
                     loc = before + np.log(np.maximum(1 - gone, 0))
                 # No rest is left where rounding alone keeps the mass above zero.
                 loc[gone > 1 - 1e-12] = -np.inf
-                v_max = -np.logaddexp(bound, exp_noise[a:b] - loc)
-                v_max[: j if node is not None else 0] = -np.inf
-                for m in np.argsort(-v_max)[:need].tolist():
+                word = np.arange(j, b - a, dtype=np.uint64)
+                noise = np.log(-np.log(_uniform(salted[i] ^ (word * _C[0] + _C[2]))))
+                v_max = -np.logaddexp(bound, noise - loc)
+                best = np.argpartition(-v_max, need - 1)[:need] if len(v_max) > need else np.arange(len(v_max))
+                for m in best.tolist():
                     if np.isfinite(v_max[m]):
-                        seen = [path[cuts[m] : cuts[m + 1]].tolist()] + (avoid if m == j and node is not None else [])
-                        heapq.heappush(heaps[i], (-float(v_max[m]), len(found[i]) * 10**9 + m, (path, cuts, m, seen)))
+                        w = m + j
+                        seen = [path[cuts[w] : cuts[w + 1]].tolist()] + (avoid if m == 0 and node is not None else [])
+                        heapq.heappush(heaps[i], (-float(v_max[m]), len(found[i]) * 10**9 + w, (path, cuts, w, seen)))
     out = []
     for i, rows in enumerate(found):
         kappa = -heaps[i][0][0] if heaps[i] else -np.inf
@@ -336,12 +384,13 @@ def sample_segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
+        lat = Lattices(v)
         for b in batches:
             keys, seeds = b.column(0).to_pylist(), b.column(1).to_numpy().view(np.uint64)
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
             for first, texts in in_bytes(utf8(b.column(2)), CHUNK):
                 out = []
-                for i, (text, rows) in enumerate(zip(texts, segmentations(v, texts, seeds[first : first + len(texts)], k)), first):
+                for i, (text, rows) in enumerate(zip(texts, segmentations(v, texts, seeds[first : first + len(texts)], k, lat)), first):
                     for nth, (ids, lp, g, q) in enumerate(rows, 1):
                         back = v.decode(ids)
                         row = (keys[i], nth, len(ids), lp, g, q, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back), back == text)

@@ -74,3 +74,47 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])
     return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), at
+
+
+class Table:
+    """Numbers by 64-bit key in an open-addressing hash table that grows; a key not in it has ``missing``."""
+
+    def __init__(self, missing: int = -1) -> None:
+        self.missing = missing
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self._room(1 << 16)
+
+    def _room(self, slots: int) -> None:
+        self.slots, self.keys, self.numbers = slots, np.zeros(slots, np.uint64), np.full(slots, self.missing, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key."""
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        out = self.numbers[slot]
+        wrong = np.flatnonzero((out != self.missing) & (self.keys[slot] != keys))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (self.slots - 1)
+            out[wrong] = self.numbers[slot[wrong]]
+            wrong = wrong[(out[wrong] != self.missing) & (self.keys[slot[wrong]] != keys[wrong])]
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct keys that it has not."""
+        self.n += len(keys)
+        if 2 * self.n > self.slots:
+            held = self.numbers != self.missing
+            keys, numbers = np.concatenate((self.keys[held], keys)), np.concatenate((self.numbers[held], numbers))
+            self._room(1 << (4 * self.n - 1).bit_length())
+        numbers = np.asarray(numbers, np.int32)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(keys):
+            free = self.numbers[slot] == self.missing
+            _, first = np.unique(slot, return_index=True)
+            won = np.zeros(len(keys), bool)
+            won[first] = True
+            won &= free
+            self.keys[slot[won]], self.numbers[slot[won]] = keys[won], numbers[won]
+            keys, numbers, slot = keys[~won], numbers[~won], (slot[~won] + 1) & (self.slots - 1)

@@ -172,12 +172,13 @@ def test_encode_and_decode_are_the_models_own(spark):
 def test_sampling_without_replacement_has_the_right_law():
     v = subwords.vocabulary(PIECES, 0.25)
     text = b"the cat"
-    lat = subwords.Lattices(v, [text])
+    lat = subwords.Lattices(v)
+    token, _ = lat.words([text])
 
     def paths(node, base):
         return [[]] if node == base else [[*p, e] for e in range(lat.head[node], lat.head[node + 1]) for p in paths(lat.begin[e], base)]
 
-    words = [paths(lat.last[w], lat.base[w]) for w in lat.token]
+    words = [paths(lat.last[w], lat.base[w]) for w in token]
     law = {tuple(lat.ids(np.array(sum(c, []))).tolist()): math.exp(sum(lat.log_p[e] for p in c for e in p)) for c in itertools.product(*words)}
     assert sum(law.values()) == pytest.approx(1)
     n = 6000
@@ -202,7 +203,8 @@ def test_sampling_without_replacement_has_the_right_law():
 def test_a_text_with_few_segmentations_gives_all():
     v = subwords.vocabulary(PIECES, 0.25)
     rows = subwords.segmentations(v, [b"q7"], np.array([1], np.uint64), 50)[0]
-    lat = subwords.Lattices(v, [b"q7"])
+    lat = subwords.Lattices(v)
+    token, _ = lat.words([b"q7"])
     assert len(rows) == len({tuple(r[0].tolist()) for r in rows})
     assert sum(math.exp(r[1]) for r in rows) == pytest.approx(1)
-    assert len(lat.token) == 1
+    assert len(token) == 1
