@@ -102,7 +102,8 @@ class Encoder:
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         self.at = np.concatenate((self.at, self.at[n] + np.cumsum(size)))
         if self.at[m] > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * int(self.at[m]))
+            before, self.flat = self.flat, np.empty(2 * int(self.at[m]), np.uint32)
+            self.flat[: self.at[n]] = before[: self.at[n]]
         self.flat[self.at[n] : self.at[m]] = np.fromiter((i for x in coded for i in x), np.uint32, int(size.sum()))
         self.n = m
         self.table.put(keys, np.arange(n, m))

@@ -27,7 +27,7 @@ CHUNK = 1 << 19
 BYTE_0 = 3
 NONE, PREFIX = -1, -2
 #: A worker forgets its word lattices when they have more nodes than this.
-NODES_MAX = 3_000_000
+NODES_MAX = 2_000_000
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
@@ -82,7 +82,8 @@ class _Column:
     def extend(self, more: np.ndarray) -> None:
         to = self.n + len(more)
         if to > len(self.held):
-            self.held = np.resize(self.held, 2 * to)
+            before, self.held = self.held, np.empty(to + to // 2, self.held.dtype)
+            self.held[: self.n] = before[: self.n]
         self.held[self.n : to] = more
         self.n = to
 
@@ -96,7 +97,8 @@ class Lattices:
 
     Words start at a blank after another byte, and around line feeds.  A node is a byte offset in a word (``base`` to
     ``last``), an edge a piece (``piece``, or -1 for the bytes of a character) into its end node; edges are sorted by
-    end node (those of node n from ``head[n]``) and ``cumulative`` runs over their probabilities given the end node.
+    end node (those of node n from ``head[n]``) and ``cumulative`` runs over their probabilities given the end node, from
+    0 before the first edge.
     """
 
     def __init__(self, v: Vocabulary) -> None:
@@ -108,6 +110,7 @@ class Lattices:
         kinds = {"base": np.int64, "last": np.int64, "text": np.uint8, "head": np.int64, "begin": np.int32, "end": np.int32, "piece": np.int32, "log_p": np.float64, "cumulative": np.float64, "n_ids": np.int32}
         self._columns = {k: _Column(t) for k, t in kinds.items()}
         self._columns["head"].extend(np.zeros(1, np.int64))
+        self._columns["cumulative"].extend(np.zeros(1))
         self._view()
 
     def _view(self) -> None:
@@ -193,10 +196,9 @@ class Lattices:
         with np.errstate(invalid="ignore"):
             log_p = np.nan_to_num(alpha[b] + weight - alpha[e], nan=-np.inf)
         n_nodes, n_edges = len(self.text), len(self.begin)
-        so_far = self.cumulative[-1] if n_edges else 0.0
         more = {
             "base": base[:-1] + n_nodes, "last": last + n_nodes, "text": text, "head": np.cumsum(np.bincount(e, minlength=n)) + n_edges, "begin": b + n_nodes,
-            "end": e + n_nodes, "piece": p, "log_p": log_p, "cumulative": np.cumsum(np.exp(log_p)) + so_far, "n_ids": np.where(p >= 0, 1, e - b),
+            "end": e + n_nodes, "piece": p, "log_p": log_p, "cumulative": np.cumsum(np.exp(log_p)) + self.cumulative[-1], "n_ids": np.where(p >= 0, 1, e - b),
         }
         for k, x in more.items():
             self._columns[k].extend(x)
@@ -212,10 +214,10 @@ class Lattices:
         steps, count = [], np.zeros(len(place) + 1, np.int64)
         while len(place):
             lo, hi = self.head[node], self.head[node + 1] - 1
-            below = np.where(lo > 0, self.cumulative[lo - 1], 0.0)
-            aim = below + noise(place, len(steps)) * (self.cumulative[hi] - below)
+            below = self.cumulative[lo]
+            aim = below + noise(place, len(steps)) * (self.cumulative[hi + 1] - below)
             edge, go = lo, np.flatnonzero(lo < hi)  # nodes have two edges on average
-            while len(go := go[self.cumulative[edge[go]] <= aim[go]]):
+            while len(go := go[self.cumulative[edge[go] + 1] <= aim[go]]):
                 edge[go] += 1
                 go = go[edge[go] < hi[go]]
             steps.append((place, edge))
