@@ -2,8 +2,8 @@
 
 Line keys become 128-bit hashes that are dealt out by range of (hash, document), sorted by (hash, document,
 position) and streamed: the first occurrence of a key in a document counts the document, partial sums per key
-meet in one small shuffle, and what leaves the operator is a compressed bitmap of dropped lines per document,
-never text.  A key that a third of all lines share spreads over as many ranges as it needs.
+meet in one small shuffle, and what leaves the search is a compressed keep bitmap per document, its runs of kept
+lines, never text.  A key that a third of all lines share spreads over as many ranges as it needs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from lodestone.llm.common import drop_staged, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\x0c\r"
+TO_END = 1 << 30
+OWN = ("kept_text", "n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
@@ -36,12 +38,13 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
 
 
-def drop_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc, row_key, words): the lines that go, as a sparse bitmap of 64-bit words per document row.
+def keep_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(doc, row_key, keep, n_dropped): which lines stay, as a run-length coded bitmap per document row.
 
     A line's key must have ``min_chars`` code points and occur in ``min_docs`` documents; its lines stay only
-    in the largest document holding it.  Documents that lose nothing have no row.  ``row_key`` is the xxhash64
-    of the text, so that rows repeating an id with another text keep bitmaps of their own.
+    in the largest document holding it.  ``keep`` lists the runs (at, n) of lines that stay; the last run has no end
+    and n = ``TO_END``.  Documents that keep all have no row.  ``row_key`` is the xxhash64 of the text, so that rows
+    repeating an id with another text keep bitmaps of their own.
     """
     lines = stage(spark, hashed_lines(docs, id_col, text_col, min_chars), "line-hashes")
     ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
@@ -50,10 +53,10 @@ def drop_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     keys = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     keys = stage(spark, keys.select("h1", "h2", "keeper"), "line-keys")
     dropped = lines.join(keys, ["h1", "h2"]).filter("doc <> keeper")
-    words = dropped.groupBy("doc", "row_key", F.expr("pos div 64").cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
-    )
-    maps = words.groupBy("doc", "row_key").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
+    gone = dropped.groupBy("doc", "row_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x + 1))
+    runs = F.zip_with(begins, F.col("gone"), lambda at, to: F.struct(at.alias("at"), F.coalesce(to - at, F.lit(TO_END)).alias("n")))
+    maps = gone.select("doc", "row_key", F.filter(runs, lambda r: r["n"] > 0).alias("keep"), F.size("gone").cast("long").alias("n_dropped"))
     out = stage(spark, maps, "line-bitmaps")
     drop_staged(spark, lines, keys)
     return out
@@ -61,35 +64,19 @@ def drop_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; NULL text counts as one empty line."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row"), F.col("words").alias("_words")).hint("merge")
-    both = docs.withColumn("_key", F.xxhash64(text)).join(
-        maps, (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left"
-    )
-    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
-    dense = F.aggregate(
-        F.col("_words"),
-        F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<array<bigint>>)").alias("parts")),
-        lambda acc, w: F.struct(
-            (w["at"] + 1).alias("next"),
-            F.concat(acc["parts"], F.array(F.concat(zeros(w["at"] - acc["next"]), F.array(w["bits"])))).alias("parts"),
-        ),
-        lambda acc: F.flatten(acc["parts"]),
-    )
-    both = both.withColumn("_bits", F.when(F.col("_words").isNotNull(), dense))
-
-    def stays(_line: Column, i: Column) -> Column:
-        word = F.get(F.col("_bits"), F.floor(i / 64).cast("int"))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
-        return F.coalesce(word.bitwiseAND(bit) == 0, F.lit(True))
-
-    kept = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
-    n_dropped = F.coalesce(F.aggregate(F.col("_words"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("long"))
+    names = docs.columns
+    at = [c.lower() for c in names]
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = F.coalesce(F.col(f"c{at.index(text_col.lower())}"), F.lit(""))
+    rows = rows.withColumn("doc", F.col(f"c{at.index(id_col.lower())}")).withColumn("row_key", F.xxhash64(text))
+    both = rows.join(bitmaps.select("doc", "row_key", "keep", "n_dropped").hint("merge"), ["doc", "row_key"], "left")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["at"] + 1, r["n"]))), "\n")
     return both.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("_words").isNull(), text).otherwise(kept).alias("kept_text"),
-        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        n_dropped.alias("n_dropped"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in OWN],
+        F.when(F.col("keep").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
     )
 
 
@@ -98,8 +85,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
     Defined cases: NULL or empty text is one empty line and keeps it; a NULL id neither counts as a document nor
     loses lines; rows repeating an id are one document; an empty table gives an empty result; other columns pass
-    through unread, whatever their names (names beginning with ``_`` that this operator adds are dropped again).
+    through unread under any name, but those named like a result give way to it.
     """
-    renamed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    bitmaps = drop_bitmaps(spark, renamed, "_id", "_text", min_chars, min_docs)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = [c.lower() for c in docs.columns]
+    bitmaps = keep_bitmaps(spark, renamed, f"c{at.index(id_col.lower())}", f"c{at.index(text_col.lower())}", min_chars, min_docs)
     return apply_bitmaps(docs, bitmaps, id_col, text_col)
