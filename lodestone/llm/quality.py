@@ -30,6 +30,8 @@ RULES = {
     "too_many_symbols": "2 * n_symbols > n_words",
     "too_many_dup_lines": "n_dup_lines > 20 AND 20 * n_dup_lines > n_words",
 }
+#: Columns of the ledger and of its verdicts.
+OWN = {*MEASURES, "failures", "base_failed", "kept"}
 BITS = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = BITS["too_few_words"] | BITS["repeated_windows"]
 #: Version to the mask of the rules that reject.
@@ -95,8 +97,10 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     """The columns ``keep``, the measurements and ``failures`` (bit per failed rule) of every row.
 
     NULL and empty texts have no words: they measure zero and fail ``too_few_words``.  With ``carry_text`` the
-    text comes along under its own name.
+    text comes along under its own name.  Rows are measured one by one, so NULL and repeated ids are as good as others; an
+    empty table gives an empty ledger; columns to keep that are named like one of the ledger's give way to it.
     """
+    keep = tuple(c for c in keep if c.lower() not in OWN)
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("t"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
     out = src.mapInArrow(lean(_measured), fields + "".join(f", {m} long" for m in MEASURES))

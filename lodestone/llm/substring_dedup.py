@@ -288,8 +288,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     ``kept`` is the SHA-256 of the kept words joined by one space; with ``with_text`` it is those words, or the
     text as it was where nothing goes.  Defined cases: NULL text has no words; a NULL id neither loses words nor
-    costs other documents theirs; rows repeating an id are one document; an empty table gives an empty result.
+    costs other documents theirs; rows repeating an id are one document; ids are of any type with an order (numbers
+    compare as numbers, text by code points); columns to keep that are named like a result give way to it; an empty table
+    gives an empty result.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("n_words", "n_removed", "kept"))
     cuts = repeated_words(spark, docs, id_col, text_col, window)
     text = F.col(f"`{text_col}`")
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
