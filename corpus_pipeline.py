@@ -37,53 +37,77 @@ def _stage(f):
     return run_stage
 
 
-def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` with another text, and ``n_chars`` of it where there is that column."""
-    own = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
-    return found.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with its columns renamed to c0, c1, .. so that none clashes with an operator's, and the names of id and text."""
+    at = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(at))]), f"c{at.index('doc_id')}", f"c{at.index('text')}"
+
+
+def _named(docs: DataFrame, found: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` from their numbered forms; with another text, ``n_chars`` of it where there is that column."""
+    own = {} if text is None else {"text": F.col(text), "n_chars": F.char_length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return found.select(*[own.get(c.lower(), F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass policy v1; rejected ones go."""
-    others = tuple(c for c in docs.columns if c != "text")
-    rows = quality.quality_rules(spark, docs, "v1", keep=others, carry_text=True)
-    return rows.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that pass policy v1; rejected ones go.
+
+    Every row is judged by itself, whatever its id (NULL and repeated ids too); NULL and empty texts have too few words and
+    go; other columns pass through unread under any name; an empty table gives an empty one.
+    """
+    rows, _, text = _numbered(docs)
+    others = tuple(c for c in rows.columns if c != text)
+    return _named(docs, quality.quality_rules(spark, rows, "v1", text_col=text, keep=others, carry_text=True).filter("kept"))
 
 
 @_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that go."""
-    found = line_dedup.line_dedup(spark, docs)
-    return _with_text(docs, found, "kept_text")
+    """Documents without the lines that go.
+
+    All rows stay.  NULL text becomes one empty line; rows without an id lose no lines and count for no key; rows that
+    repeat an id are one document with bitmaps of their own; other columns pass through under any name; an empty table gives
+    an empty one.
+    """
+    rows, key, text = _numbered(docs)
+    return _named(docs, line_dedup.line_dedup(spark, rows, key, text), "kept_text")
 
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest row of each near-duplicate component by (doc_id, hash of the text), and every row without an id.
 
-    Rows that repeat an id stand for themselves: those with different texts stay unless they are near copies.
+    Rows that repeat an id stand for themselves: those with different texts stay unless they are near copies, and of rows
+    equal in id and text one stays.  Texts without a word are copies of each other.  Other columns pass through under any
+    name; an empty table gives an empty one.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.filter("doc_id is not null")
-    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("d"), text_hash.alias("h"))).alias("id"), "text")
+    rows, key, text = _numbered(docs)
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    named = rows.filter(F.col(key).isNotNull())
+    keyed = rows.select(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("d"), "h")).alias("id"), F.col(text).alias("text"))
     found = simhash.near_components(spark, keyed, "id")
-    keep = found.filter("id = component").select(F.col("id.d").alias("doc_id"), F.col("id.h").alias("_text_hash")).distinct()
-    named = named.withColumn("_text_hash", text_hash).join(keep.hint("merge"), ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    keep = found.filter("id = component").select(F.col("id.d").alias(key), F.col("id.h").alias("h")).distinct()
+    named = named.join(keep.hint("merge"), [key, "h"], "left_semi").dropDuplicates([key, "h"])
+    return _named(docs, named.unionByName(rows.filter(F.col(key).isNull())))
 
 
 @_stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated 50-word windows."""
-    others = tuple(c for c in docs.columns if c != "text")
-    found = substring_dedup.substring_dedup(spark, docs, keep=others, with_text=True)
-    return _with_text(docs, found, "kept")
+    """Documents without the words of repeated 50-word windows.
+
+    All rows stay, even where no word does.  NULL text becomes the empty text; rows without an id neither lose words nor
+    cost others theirs; rows that repeat an id are one document; other columns pass through under any name; an empty table
+    gives an empty one.
+    """
+    rows, key, text = _numbered(docs)
+    others = tuple(c for c in rows.columns if c != text)
+    return _named(docs, substring_dedup.substring_dedup(spark, rows, key, text, keep=others, with_text=True), "kept")
 
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens: every row's ids once, NULL and repeated ids included; NULL text is the
+    end id alone; other columns are not read; an empty table gives no piece."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
