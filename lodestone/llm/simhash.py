@@ -271,7 +271,6 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     fps = stage(spark, fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = stage(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "fp-least")
     edges = links(spark, least.select("fp"), radius)
-    roots = components(spark, edges)
     return _labelled(spark, fps, least, edges)
 
 
@@ -288,6 +287,8 @@ def _labelled(spark: SparkSession, fps: DataFrame, least: DataFrame, edges: Data
 
 #: Near copies: shingle words, fingerprint bits, bands of smallest shingle hashes that name the groups, and tile size.
 NEAR_SHINGLE, NEAR_BITS, BANDS, ROWS, TILE = 5, 256, 16, 3, 512
+#: Leaders of a large group in each round.
+LEADERS = (1, 4)
 _WIDTH = NEAR_BITS // 8
 _BIT_SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(NEAR_BITS // 64)]
 _MIN_ODDS = [np.uint64((0xD1B54A32D192ED03 * (2 * i + 1) ^ i << 40) % 2**64 | 1) for i in range(BANDS * ROWS)]
@@ -430,6 +431,111 @@ def _confirmed(similarity: float, radius: int):
     return run
 
 
+def _near_bits(radius: int):
+    """Rows and leaders (fp, ..) at most ``radius`` bits apart, by the sketch that ``fp`` begins with."""
+
+    def prepare(leaders: list[dict]) -> np.ndarray:
+        return np.frombuffer(b"".join(x["fp"][:_WIDTH] for x in leaders), np.uint64).reshape(len(leaders), -1)
+
+    def test(leaders: np.ndarray, rows: dict[str, list]) -> np.ndarray:
+        own = np.frombuffer(b"".join(x[:_WIDTH] for x in rows["fp"]), np.uint64).reshape(len(rows["fp"]), -1)
+        return np.bitwise_count(own[:, None] ^ leaders[None]).sum(2) <= radius
+
+    return prepare, test
+
+
+def _near_sets(similarity: float):
+    """Rows and leaders (fp, bits, text) whose shingle sets have at least that Jaccard similarity."""
+
+    def prepare(leaders: list[dict]) -> list[np.ndarray]:
+        return list(shingle_sets([x["text"].encode() for x in leaders]))
+
+    def test(leaders: list[np.ndarray], rows: dict[str, list]) -> np.ndarray:
+        out = []
+        for _, part in in_bytes([t.encode() for t in rows["text"]], 1 << 20):
+            for g in shingle_sets(part):
+                both = np.array([np.isin(g, x, assume_unique=True).sum() if min(len(g), len(x)) >= similarity * max(len(g), len(x)) - 1e-9 else -1 for x in leaders])
+                size = np.array([len(x) for x in leaders])
+                out.append((both >= 0) & (both >= similarity * (len(g) + size - both) - 1e-9))
+        return np.array(out)
+
+    return prepare, test
+
+
+def _follow(by: list[str], pay: list[str], first: int, near):
+    """Rows (by .., fp, pay .., k, leads, lead) to the same but ``lead``: ``k`` is the first leader a row is near to, numbered
+    from ``first``, and ``leads`` gains every leader it is near to."""
+    prepare, test = near
+    names = [*by, "fp", *pay, "k", "leads"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders, ready = None, [], None
+        for b in batches:
+            t = {c: b.column(c).to_pylist() for c in names}
+            keys = list(zip(*(t[c] for c in by)))
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if keys[lo] != now:
+                    now, leaders = keys[lo], b.column("lead")[lo].as_py() or []
+                    ready = prepare(leaders) if leaders else None
+                if leaders:
+                    close = test(ready, {c: t[c][lo:hi] for c in ("fp", *pay)})
+                    for i in np.flatnonzero(close.any(1)).tolist():
+                        own = np.flatnonzero(close[i]).tolist()
+                        if t["k"][lo + i] is None:
+                            t["k"][lo + i] = first + own[0]
+                        t["leads"][lo + i] = t["leads"][lo + i] + [leaders[j]["fp"] for j in own if leaders[j]["fp"] != t["fp"][lo + i]]
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*by, "fp", *pay)), pa.array(t["k"], pa.int32()), pa.array(t["leads"], pa.list_(pa.binary()))], names=names)
+
+    return run
+
+
+def led(spark: SparkSession, rows: DataFrame, by: list[str], pay: list[str], near, name: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, pairs): how the rows (by .., fp, pay ..) of large groups are compared without all pairs of a group.
+
+    In ``LEADERS`` rounds some rows of each group that follow no leader yet lead it: every row is compared with them.
+    ``edges`` (a, b) join rows to leaders they are near to, so rows of one leader need no comparison among themselves.
+    ``pairs`` holds the other rows, those without a leader above all, once for each pair (lo, hi) of tiles of about
+    ``TILE`` rows that may still hold a link: nothing where a group has one leader, and no link is lost.
+    """
+    now = stage(spark, rows.select(*by, "fp", *pay, F.lit(None).cast("int").alias("k"), F.array().cast("array<binary>").alias("leads")), name)
+    first = 0
+    for n in LEADERS:
+        free = now.filter("k is null").groupBy(*by, F.pmod(F.xxhash64("fp"), F.lit(n)).alias("s")).agg(F.min(F.struct("fp", *pay)).alias("x"))
+        leaders = stage(spark, free.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("lead")), name + "-leaders")
+        after = stage(spark, now.join(leaders.hint("merge"), by, "left").mapInArrow(lean(_follow(by, pay, first, near)), now.schema), name)
+        drop_staged(spark, now, leaders)
+        now, first = after, first + n
+    edges = now.select(F.col("fp").alias("a"), F.explode("leads").alias("b"))
+
+    # Followers of a leader that are few are as those of none (-1).
+    own = F.coalesce("k", F.lit(-1)).alias("k")
+    sizes = now.groupBy(*by, own).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("c"))
+    alone = lambda c: (c["k"] == -1) | (c["n"] < TILE)
+    rest = F.aggregate(F.filter("c", alone), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    tiles = lambda n: F.ceil(n / TILE).cast("int").alias("tiles")
+    many = F.transform(F.filter("c", lambda c: ~alone(c)), lambda c: F.struct(c["k"].alias("k"), tiles(c["n"])))
+    sizes = sizes.select(*by, F.concat(F.array(F.struct(F.lit(-1).alias("k"), tiles(rest))), many).alias("c"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<k:int,first:int,tiles:int>>").alias("out"))
+    placed = F.aggregate(
+        "c",
+        start,
+        lambda s, c: F.struct((s["next"] + c["tiles"]).alias("next"), F.concat(s["out"], F.array(F.struct(c["k"].alias("k"), s["next"].alias("first"), c["tiles"].alias("tiles")))).alias("out")),
+        lambda s: s["out"],
+    )
+    plan = stage(spark, sizes.select(*by, placed.alias("c")), name + "-tiles")
+    pairs = now.select(*by, "fp", *pay, own).join(plan.hint("merge"), by)
+    pairs = pairs.withColumn("k", F.when(F.exists("c", lambda c: c["k"] == F.col("k")), F.col("k")).otherwise(-1))
+    mine = F.get(F.filter("c", lambda c: c["k"] == F.col("k")), F.lit(0))
+    others = F.flatten(F.transform(F.filter("c", lambda c: ((c["k"] != F.col("k")) | (F.col("k") == -1)) & (c["tiles"] > 0)), lambda c: F.sequence(c["first"], c["first"] + c["tiles"] - 1)))
+    pairs = pairs.withColumn("t", mine["first"] + F.pmod(F.xxhash64("fp"), mine["tiles"]).cast("int")).withColumn("o", F.explode(others))
+    return edges, pairs.select(*by, "fp", *pay, F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"))
+
+
 def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, group_max: int = GROUP_MAX) -> DataFrame:
     """(id, fp, component): near copies, that is texts linked by pairs whose sets of five-word shingles have a Jaccard
     similarity of ``similarity`` at least; ``fp`` names the set of a row.
@@ -437,9 +543,11 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     Candidates: groups are named by bands of smallest shingle hashes (a pair at 0.8 shares one with probability
     0.99999), and inside a group the 256-bit SimHashes of distinct sets are compared bit-sliced at a radius that keeps
     pairs at ``similarity`` surely.  Each component of candidates is then compared again, and an edge counts only where
-    the exact similarity of the shingle sets confirms it.  Larger groups and components are compared as pairs of tiles of
-    about ``TILE`` members, so no task holds one.
-    NULLs, empty texts, repeated ids and empty tables behave as in ``simhash_components``.
+    the exact similarity of the shingle sets confirms it.  Groups and components over ``group_max`` are first compared
+    with leaders (``led``), so that near copies of one text cost as many comparisons as there are of them.
+    Defined cases: NULL text is empty, and texts without a word are copies of each other; a NULL id takes part, and a
+    component of NULL ids alone has a NULL component; rows repeating an id are linked as rows with one id would be; other
+    columns are not read; an empty table gives none.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -449,27 +557,34 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     least = stage(spark, fps.groupBy("fp").agg(F.min("id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "sketch-least")
     rows = stage(spark, least.select(F.concat("bits", "fp").alias("fp"), F.posexplode("bands").alias("m", "v")), "sketch-rows")
     sizes = stage(spark, rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-groups")
-    normal = rows.join(sizes.filter(F.col("n") <= group_max), ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("fps")).select("fps")
-    paired = _tiled(rows.join(sizes.filter(F.col("n") > group_max), ["m", "v"]), group_max)
-    paired = paired.groupBy("m", "v", "lo", "hi").agg(F.collect_list("fp").alias("fps")).select("fps")
-    loose = stage(spark, normal.unionAll(paired).mapInArrow(lean(_near_linked(radius)), "a binary, b binary").distinct(), "sketch-links")
+    groups = rows.join(sizes.filter(F.col("n") <= group_max), ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("fps")).select("fps")
+    big = sizes.filter(F.col("n") > group_max).select("m", "v")
+    loose = None
+    if big.take(1):
+        loose, pairs = led(spark, rows.join(big, ["m", "v"], "left_semi"), ["m", "v"], [], _near_bits(radius), "sketch-large")
+        loose = loose.select(*[F.expr(f"substring({c}, {_WIDTH + 1}, 16)").alias(c) for c in ("a", "b")])
+        groups = groups.unionAll(pairs.groupBy("m", "v", "lo", "hi").agg(F.collect_list("fp").alias("fps")).select("fps"))
+    near = groups.mapInArrow(lean(_near_linked(radius)), "a binary, b binary")
+    loose = stage(spark, (near if loose is None else near.unionAll(loose)).distinct(), "sketch-links")
     drop_staged(spark, rows, sizes)
 
     roots = components(spark, loose)
     roots = stage(spark, roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "sketch-roots")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    sizes = stage(spark, roots.groupBy("root").agg(F.count("*").alias("n")), "sketch-sizes")
     named = roots.join(sizes.hint("merge"), "root").select("root", "n", F.col("node").alias("fp"))
     members = stage(spark, named.join(least.select("fp", "bits").hint("merge"), "fp"), "sketch-members")
     texts = src.select("text").mapInArrow(lean(_keyed), "fp binary, text string").groupBy("fp").agg(F.min("text").alias("text"))
-    tiled = _tiled(members.join(texts.hint("merge"), "fp"), group_max).select("root", "lo", "hi", "fp", "bits", "text")
-    found = tiled.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "fp").mapInArrow(lean(_confirmed(similarity, radius)), "a binary, b binary")
-    edges = stage(spark, found.distinct(), "near-links")
-    drop_staged(spark, loose, roots, members)
+    members = members.join(texts.hint("merge"), "fp").select("root", "n", "fp", "bits", F.coalesce("text", F.lit("")).alias("text"))
+    edges = None
+    if sizes.filter(F.col("n") > group_max).take(1):
+        members = stage(spark, members, "sketch-texts")
+        edges, pairs = led(spark, members.filter(F.col("n") > group_max), ["root"], ["bits", "text"], _near_sets(similarity), "near-large")
+        small = members.filter(F.col("n") <= group_max)
+        small = small.select("root", "fp", "bits", "text", F.lit(0).alias("lo"), F.lit(0).alias("hi")).unionByName(pairs)
+    else:
+        small = members.select("root", "fp", "bits", "text", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    small = small.select("root", "lo", "hi", "fp", "bits", "text").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "fp")
+    found = small.mapInArrow(lean(_confirmed(similarity, radius)), "a binary, b binary")
+    edges = stage(spark, (found if edges is None else found.unionAll(edges)).distinct(), "near-links")
+    drop_staged(spark, loose, roots, sizes)
     return _labelled(spark, fps, least, edges)
-
-
-def _tiled(rows: DataFrame, group_max: int) -> DataFrame:
-    """Rows of groups of ``n`` members once for each pair (lo, hi) of tiles they are in; up to ``group_max`` there is one tile."""
-    tiles = F.when(F.col("n") > group_max, F.ceil(F.col("n") / TILE)).otherwise(1).cast("int")
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("fp"), tiles).cast("int"))
-    return rows.withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("lo", F.least("t", "o")).withColumn("hi", F.greatest("t", "o"))

@@ -150,6 +150,22 @@ def test_near_copies_are_those_of_exact_similarity(spark, group_max, tile, monke
     assert got == want
 
 
+@pytest.mark.parametrize("strays", [0, 5])
+def test_a_large_group_of_near_copies_is_compared_with_its_leaders_alone(spark, strays):
+    rng = np.random.default_rng(3)
+    center = np.unpackbits(rng.integers(0, 256, 32).astype(np.uint8))
+    n = 20_000
+    bits = np.repeat(center[None], n, 0)
+    bits[np.arange(n), rng.integers(0, 256, n)] ^= 1
+    rows = [np.packbits(b).tobytes() + i.to_bytes(16, "big") for i, b in enumerate(bits)]
+    rows += [rng.bytes(32) + (n + i).to_bytes(16, "big") for i in range(strays)]
+    df = spark.createDataFrame([(0, 7, r) for r in rows], "m int, v long, fp binary")
+    edges, pairs = simhash.led(spark, df, ["m", "v"], [], simhash._near_bits(simhash.near_radius(0.8)), "test")
+    roots = {bytes(r.node): r.root for r in simhash.components(spark, edges).collect()}
+    assert len({bytes(v) for v in roots.values()}) == 1 and len(roots) == n - 1
+    assert pairs.count() == 0 if not strays else pairs.count() <= 2 * n
+
+
 def test_sets_of_one_sketch_stay_apart(spark):
     words = [f"w{x}" for x in np.random.default_rng(7).integers(0, 9**9, 20000)]
     text = " ".join(words)
