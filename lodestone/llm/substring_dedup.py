@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import drop_staged, in_bytes, lean, stage, utf8
+from lodestone.llm.common import drop_staged, in_bytes, lean, stage, staging, utf8
 from lodestone.llm.fmindex import FMIndex
 
 WINDOW = 50
@@ -233,7 +233,8 @@ def repeated_words(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     leaves = [x.distinct if x.hot is None else x.distinct.join(x.hot, "anchor", "left_anti") for x in levels]
     texts = with_text(reduce(DataFrame.unionAll, leaves))
     texts = stage(spark, texts.mapInArrow(lean(_texts(window)), f"anchor long, content long, least {kind}, top {kind}, words binary"), "region-texts")
-    n_words = sum(x.agg(F.sum(F.col("n") + F.lit(window))).first()[0] or 0 for x in leaves)
+    with staging(spark):
+        n_words = sum(x.agg(F.sum(F.col("n") + F.lit(window))).first()[0] or 0 for x in leaves)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // SHARD_WORDS))
     hits = texts.repartition(shards, "anchor").mapInArrow(lean(_shard(window)), f"anchor long, content long, runs array<struct<at:int,n:int,low:{kind}>>")
     hits = stage(spark, hits, "window-hits")
