@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import corpus as C
+from lodestone.operators import evaluate as E
 from lodestone.operators import retrieval as R
 from lodestone.operators import units as U
 from lodestone.plans.corpus_queries import PARAS
@@ -99,7 +100,7 @@ gold AS (SELECT DISTINCT query_id, a AS annotator, (unit_id // 3) % 2 AS element
 rec AS (SELECT query_id, unit_id % 11 AS atom, min(rank) AS rank FROM ranking GROUP BY ALL)"""
 
 
-def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set: every vector whose id is divisible by 20, against all vectors of its label."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))
@@ -110,7 +111,7 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("retrieval_rank_topk", f"WITH {RANKING} SELECT query_id, unit_id, rank, {R6.format('score')} AS score FROM ranking WHERE rank <= 10")
 def retrieval_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best units of each query in its scope."""
-    return _ranking(spark, sf_dir).filter("rank <= 10").select("query_id", "unit_id", "rank", T.round6(F.col("score")).alias("score"))
+    return ranking(spark, sf_dir).filter("rank <= 10").select("query_id", "unit_id", "rank", T.round6(F.col("score")).alias("score"))
 
 
 @query("retrieval_metrics", f"""WITH {RANKING}, alt AS (SELECT g.query_id, annotator, element, alternative, CASE WHEN count(*) = count(rank) THEN max(rank) END AS rank FROM gold g LEFT JOIN rec USING (query_id, atom) GROUP BY ALL),
@@ -119,12 +120,11 @@ def retrieval_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM s JOIN (SELECT query_id, coalesce(1.0 / min(rank), 0) AS mrr FROM el GROUP BY query_id) USING (query_id) GROUP BY query_id""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and complete evidence at 5 and 10, and reciprocal rank, from the rank at which each gold element is met."""
-    ranking = _ranking(spark, sf_dir)
+    ranked = ranking(spark, sf_dir)
     parts = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), (F.col("vec_id") % 11).alias("atom"))
-    both = ranking.select("query_id", "unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("annotator")).filter("unit_id % 5 = annotator")
+    both = ranked.select("query_id", "unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("annotator")).filter("unit_id % 5 = annotator")
     gold = both.select("query_id", "annotator", F.expr("(unit_id div 3) % 2").alias("element"), F.expr("unit_id % 3").alias("alternative"), F.expr("unit_id % 11").alias("atom")).distinct()
-    el = R.gold_ranks(gold, R.recovery_ranks(ranking, parts))
-    m = R.gold_scores(el, 5, "5").join(R.gold_scores(el, 10, "10"), "query_id").join(R.reciprocal_rank(el), "query_id")
+    m = E.element_scores(R.gold_ranks(gold, R.recovery_ranks(ranked, parts)), {"5": F.lit(5), "10": F.lit(10)})
     return m.select("query_id", T.round6(F.col("recall_5")).alias("recall_5"), "complete_5", T.round6(F.col("recall_10")).alias("recall_10"), "complete_10", T.round6(F.col("mrr")).alias("mrr"))
 
 
@@ -132,7 +132,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, count(*) FILTER (spent <= 1024) AS n_units, coalesce(max(spent) FILTER (spent <= 1024), 0)::DOUBLE AS spent, max(spent) <= 1024 AS exhausted FROM c GROUP BY query_id""")
 def retrieval_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units within 1,024 tokens over the full ranking."""
-    return R.budget_depth(_ranking(spark, sf_dir), 1024)
+    return R.budget_depth(ranking(spark, sf_dir), 1024)
 
 
 @query("interval_union", """WITH i AS (SELECT user_id, event_id % 500 AS s, event_id % 500 + 1 + event_id % 9 AS e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM i)
