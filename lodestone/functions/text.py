@@ -15,6 +15,7 @@ REFERENCE_LIKE = r"^(?:\[?[0-9]{1,3}\]?\s*[.)]|references?\b|bibliography\b)|\bd
 MOJIBAKE_MARKERS = ("�", "Ã", "Â", "â€", "ï¬")
 NEGATION_CUES = ("not", "no ", "neither", "without", "didn't", "did not", "wasn't", "was not")
 UNCERTAINTY_CUES = ("may", "might", "could", "suggest", "likely", "possibly", "potentially", "appears")
+STRAY_ENDINGS = "tion|tions|ment|ments|ness|ously|ively|ically|ations|ability|ities|jection|centrations|cant|ances|diate|izontal|istry|ficult"
 EXCLUDED_SECTION_TERMS = (
     "reference", "bibliograph", "acknowledg", "funding", "author contribution", "credit authorship", "competing interest",
     "conflict of interest", "data availability", "supplementary", "appendix", "article info", "orcid", "citation",
@@ -77,8 +78,7 @@ def match_text(c: Column, compat: bool = False) -> Column:
 
 def word_split_suspected(c: Column) -> Column:
     """A word broken by a hyphen and a blank, or a common ending standing alone."""
-    endings = "tion|tions|ment|ments|ness|ously|ively|ically|ations|ability|ities|jection|centrations|cant|ances|diate|izontal|istry|ficult"
-    return c.rlike(rf"(?U)\b(?:[A-Za-z]{{3,}}-\s+[a-z]{{2,}}|[A-Za-z]{{2,}}\s+(?:{endings}))\b")
+    return c.rlike(rf"(?U)\b(?:[A-Za-z]{{3,}}-\s+[a-z]{{2,}}|[A-Za-z]{{2,}}\s+(?:{STRAY_ENDINGS}))\b")
 
 
 def any_of(c: Column, terms) -> Column:

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import patterns as P
@@ -120,6 +120,16 @@ _EMITTERS = {
 }
 
 
+def may_hold(task: str, text: Column) -> Column:
+    """Whether a task's patterns can match at all, decided by the JVM: other paragraphs never reach Python."""
+    if task == "T1":
+        return T.any_of(text, ("(", *P.DEFINITION_CUES))
+    if task == "T2":
+        return text.rlike(r"\p{Nd}")
+    # Case-insensitive patterns of Python also take the long s and the dotless i.
+    return text.rlike("(?i)" + "|".join(P.RELATION_CUES) + "|[\u017f\u0131]")
+
+
 def raw_candidates(paras: DataFrame, task: str) -> DataFrame:
     """Every span a task's patterns find; input columns as in ``PARAGRAPH``."""
     emit, extra = _EMITTERS[task]
@@ -131,6 +141,7 @@ def raw_candidates(paras: DataFrame, task: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     src = paras.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("position").cast("long").alias("position"), "section", "provenance_ok", F.coalesce("text", F.lit("")).alias("text"))
+    src = src.filter(may_hold(task, F.col("text")))
     return src.mapInPandas(run, f"{_COMMON}, {extra}")
 
 
@@ -278,14 +289,14 @@ def numeric_signature(answer: str) -> str:
     return "|".join([",".join(f"{v:g}" for v in values), unit[-1] if unit else "", op])
 
 
-def verify_numbers(candidates: DataFrame, counter: DataFrame) -> DataFrame:
-    """Machine verification of numeric candidates: a ready one whose every counterfactual has another signature."""
+def signature(answer: Column) -> Column:
+    """``numeric_signature`` as a column, by batches."""
+    return F.pandas_udf(lambda s: s.map(numeric_signature), "string")(answer)
 
-    @F.pandas_udf("string")
-    def signature(s: pd.Series) -> pd.Series:
-        return s.map(numeric_signature)
 
-    own = candidates.select("id", "answer", "ready").withColumn("signature", signature("answer"))
-    other = counter.withColumn("other", signature("variant")).groupBy("id").agg(F.collect_set("other").alias("others"), F.count("*").alias("n_variants"))
+def verify_numbers(candidates: DataFrame, counter: DataFrame) -> DataFrame:
+    """Machine verification of numeric candidates: a ready one whose every counterfactual has another signature."""
+    own = candidates.select("id", "answer", "ready").withColumn("signature", signature(F.col("answer")))
+    other = counter.withColumn("other", signature(F.col("variant"))).groupBy("id").agg(F.collect_set("other").alias("others"), F.count("*").alias("n_variants"))
     j = own.join(other, "id", "left")
     return j.withColumn("counterfactual_pass", ~F.coalesce(F.array_contains("others", F.col("signature")), F.lit(False))).withColumn("machine_verified", F.col("ready") & F.col("counterfactual_pass"))
