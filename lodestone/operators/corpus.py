@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -97,8 +97,3 @@ def validate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def first_failing(rules: dict[str, Column]) -> Column:
     """The name of the first rule that rejects, in the order given; NULL where none does."""
     return F.coalesce(*[F.when(c, n) for n, c in rules.items()])
-
-
-def last_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row of each key in a stated order (dropDuplicates has none)."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

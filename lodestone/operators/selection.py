@@ -1,7 +1,7 @@
 """Ranking, budgeted selection, splits and nested pools.
 
 Orders are total (score, then id) and randomness is the SHA-256 of a seed and an id, so every result is the same on
-any number of partitions.  A global order uses one window without a key only over pre-aggregated sources.
+any number of partitions.  A global order numbers rows inside buckets of the hash and adds up the sizes of buckets.
 """
 
 from __future__ import annotations
@@ -52,26 +52,50 @@ def hash_order(seed: str, *ids: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[i.cast("string") for i in ids]), 256)
 
 
+#: Hexadecimal digits of the hash that name the buckets of a global order: 16 ** 3 rows at most are ordered in one place.
+DIGITS = 3
+
+
+def dealt_rank(df: DataFrame, buckets: list[str], order: list[Column], name: str) -> DataFrame:
+    """``name`` and ``n_all``: place from 1 in the order of (buckets, order) over all rows, and their number.
+
+    Rows are numbered inside their bucket; only one row per bucket, their sizes, is ordered in one place and broadcast, so
+    the buckets must be a bounded number of values.
+    """
+    sizes = df.groupBy(*buckets).agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*buckets, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("n_all"))
+    own = F.row_number().over(Window.partitionBy(*buckets).orderBy(*order))
+    return df.join(F.broadcast(sizes), buckets).withColumn(name, F.col("_before") + own).drop("_before")
+
+
+def _hashed(df: DataFrame, seed: str, col: str) -> DataFrame:
+    return df.withColumn("_hash", hash_order(seed, F.col(col))).withColumn("_bucket", F.substring("_hash", 1, DIGITS))
+
+
 def folds(df: DataFrame, id_col: str, seed: str, k: int) -> DataFrame:
     """Fold = position in hash order modulo ``k``."""
-    order = Window.orderBy(hash_order(seed, F.col(id_col)), id_col)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long"))
+    r = dealt_rank(_hashed(df, seed, id_col), ["_bucket"], [F.col("_hash"), F.col(id_col)], "_at")
+    return r.select(*df.columns, F.pmod(F.col("_at") - 1, F.lit(k)).cast("long").alias("fold"))
 
 
 def split(df: DataFrame, id_col: str, seed: str, first: int, last: int) -> DataFrame:
     """``train`` for the first, ``eval`` for the last rows in hash order, ``unused`` between."""
-    order = Window.orderBy(hash_order(seed, F.col(id_col)), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    at = F.row_number().over(order)
-    return df.withColumn("split", F.when(at <= first, "train").when(at > n - last, "eval").otherwise("unused"))
+    r = dealt_rank(_hashed(df, seed, id_col), ["_bucket"], [F.col("_hash"), F.col(id_col)], "_at")
+    return r.select(*df.columns, F.when(F.col("_at") <= first, "train").when(F.col("_at") > F.col("n_all") - last, "eval").otherwise("unused").alias("split"))
+
+
+def prefix_sample(df: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
+    """The first ``n`` rows in hash order: samples of one seed are prefixes of each other."""
+    return df.withColumn("_hash", hash_order(seed, F.col(id_col))).orderBy("_hash", id_col).limit(n).drop("_hash")
 
 
 def round_robin(df: DataFrame, group: str, item: str, seed: str, cap: int) -> DataFrame:
     """At most ``cap`` items of each group, dealt one per group and turn, groups in hash order: (.., turn, ordinal)."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, F.col(item)), item))
     some = df.withColumn("turn", turn.cast("long")).filter(F.col("turn") <= cap)
-    order = Window.orderBy("turn", hash_order(seed, F.col(group)), group)
-    return some.withColumn("ordinal", F.row_number().over(order).cast("long"))
+    r = dealt_rank(_hashed(some, seed, group), ["turn", "_bucket"], [F.col("_hash"), F.col(group)], "ordinal")
+    return r.select(*df.columns, "turn", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def nested_pools(df: DataFrame, scales: list[int]) -> DataFrame:
@@ -83,10 +107,3 @@ def nested_pools(df: DataFrame, scales: list[int]) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a defined order."""
     return ranked(df, keys, order, "_n").filter("_n = 1").drop("_n")
-
-
-def overlap(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
-    """One row: sizes, intersection, Jaccard and overlap coefficient of two id sets."""
-    both = a.select(id_col).distinct().withColumn("in_a", F.lit(1)).join(b.select(id_col).distinct().withColumn("in_b", F.lit(1)), id_col, "full")
-    sums = both.agg(F.sum(F.coalesce("in_a", F.lit(0))).alias("n_a"), F.sum(F.coalesce("in_b", F.lit(0))).alias("n_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("n_both"), F.count("*").alias("n_any"))
-    return sums.select("n_a", "n_b", "n_both", F.try_divide(F.col("n_both").cast("double"), F.col("n_any")).alias("jaccard"), F.try_divide(F.col("n_both").cast("double"), F.least("n_a", "n_b")).alias("overlap"))

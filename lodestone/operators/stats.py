@@ -58,12 +58,27 @@ def set_prf(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return n.select("n_gold", "n_found", "n_both", one("n_found").alias("precision"), one("n_gold").alias("recall"))
 
 
+def ranges(df: DataFrame, column: str, n: int = 64) -> Column:
+    """Number of the range a value lies in, of about ``n`` that hold equally many rows; equal values share one.
+
+    The limits (``n - 1`` numbers) come to the driver; results must not depend on where they lie.
+    """
+    limits = sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n)))
+    return F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda x: x < F.col(column))) if limits else F.lit(0)
+
+
 def best_threshold(df: DataFrame, score: str, truth: str, beta: float = 0.5) -> DataFrame:
-    """The score threshold with the best (F-beta, precision, threshold), from cumulative counts per distinct score."""
-    each = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("t"), F.count_if(~F.col(truth)).alias("f"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("t").over(Window.partitionBy())
-    cum = each.select(F.col(score).alias("threshold"), F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), total.alias("pos")).withColumn("fn", F.col("pos") - F.col("tp"))
+    """The score threshold with the best (F-beta, precision, threshold), from cumulative counts per distinct score.
+
+    Counts are added up inside ranges of scores, and the sums of ranges (a bounded number) over them.
+    """
+    each = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("t"), F.count_if(~F.col(truth)).alias("f")).withColumn("g", ranges(df.filter(F.col(score).isNotNull()), score))
+    sums = each.groupBy("g").agg(F.sum("t").alias("gt"), F.sum("f").alias("gf"))
+    above = Window.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    sums = sums.select("g", so_far("gt").alias("bt"), so_far("gf").alias("bf"), F.sum("gt").over(Window.partitionBy()).alias("pos"))
+    down = Window.partitionBy("g").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    cum = each.join(F.broadcast(sums), "g").select(F.col(score).alias("threshold"), (F.col("bt") + F.sum("t").over(down)).alias("tp"), (F.col("bf") + F.sum("f").over(down)).alias("fp"), "pos").withColumn("fn", F.col("pos") - F.col("tp"))
     m = f_beta(beta)
     return cum.select("threshold", m["precision"].alias("precision"), m["recall"].alias("recall"), m["f"].alias("f")).orderBy(F.desc("f"), F.desc("precision"), F.desc("threshold")).limit(1)
 
@@ -106,42 +121,56 @@ def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*", (F.col("r.input_n") - F.col("r.remaining_n")).alias("excluded_n"))
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Average rank of ties, from 1."""
-    low = F.rank().over(Window.partitionBy(*(by or [])).orderBy(value)).cast("double")
-    return low + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value)) - 1) / 2
-
-
-def kendall_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b in one task per call by merge counting: O(n log n) over one row per source (bounded input)."""
+def inversions(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Weighted pairs with a smaller x and a larger y, by merging halves."""
+    order = np.lexsort((y, x))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches) or [pd.DataFrame({"x": [], "y": []})])
-        yield pd.DataFrame({"n": [len(frame)], "tau": [kendall(frame["x"].to_numpy(float), frame["y"].to_numpy(float))]})
+    def merged(v: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        if len(v) < 2:
+            return v, m, 0
+        half = len(v) // 2
+        (a, p, i), (b, q, j) = merged(v[:half], m[:half]), merged(v[half:], m[half:])
+        before = np.concatenate(([0], np.cumsum(p)))
+        across = int((q * (before[-1] - before[np.searchsorted(a, b, "right")])).sum())
+        both, weight = np.concatenate((a, b)), np.concatenate((p, q))
+        by = np.argsort(both, kind="stable")
+        return both[by], weight[by], i + j + across
 
-    return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).coalesce(1).mapInPandas(run, "n long, tau double")
+    return merged(y[order], w[order])[2]
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b of two vectors."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    pairs = lambda *k: sum(c * (c - 1) // 2 for c in pd.DataFrame(dict(enumerate(k))).value_counts(sort=False))
-    ties_x, ties_y, ties_xy = pairs(x), pairs(y), pairs(x, y)
+def kendall_counts(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, tau): Kendall's tau-b of two columns; rows with a NULL are left out.
 
-    def swaps(v: np.ndarray) -> tuple[np.ndarray, int]:
-        if len(v) < 2:
-            return v, 0
-        half = len(v) // 2
-        (a, i), (b, j) = swaps(v[:half]), swaps(v[half:])
-        return np.sort(v, kind="stable"), i + j + int((len(a) - np.searchsorted(a, b, "right")).sum())
-
-    total = n * (n - 1) // 2
-    _, discordant = swaps(y)
-    top = total - ties_x - ties_y + ties_xy - 2 * discordant
-    low = float(total - ties_x) * float(total - ties_y)
-    return None if low <= 0 else top / low**0.5
+    Pairs of different ranges of both x and y are counted on the grid of ranges, whose size is fixed; those of one range of
+    x, and those of different ranges of x in one of y, by merging inside the range, one task each.
+    """
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    cells = rows.groupBy("x", "y").agg(F.count("*").alias("c")).withColumns({"gx": ranges(rows, "x"), "gy": ranges(rows, "y")})
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+
+    def ties(*by: str) -> DataFrame:
+        return cells.groupBy(*by).agg(F.sum("c").alias("c")).agg(F.coalesce(pairs("c"), F.lit(0.0)).alias("_".join(["t", *by])))
+
+    def inside(first: str, second: str):
+        def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"d": [float(inversions(g[first].to_numpy(), g[second].to_numpy(), g["c"].to_numpy()))]})
+
+        return run
+
+    def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = pd.concat(list(batches) or [pd.DataFrame({"gx": [], "gy": [], "c": []})])
+        # A grid cell is one point: pairs of one range of x or of y do not count here.
+        yield pd.DataFrame({"d": [float(inversions(h["gx"].to_numpy(float), h["gy"].to_numpy(float), h["c"].to_numpy(float)))]})
+
+    parts = cells.groupBy("gx").applyInPandas(inside("x", "y"), "d double").unionAll(cells.groupBy("gy").applyInPandas(inside("gx", "y"), "d double"))
+    parts = parts.unionAll(cells.groupBy("gx", "gy").agg(F.sum("c").alias("c")).coalesce(1).mapInPandas(grid, "d double"))
+    one = parts.agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d")).crossJoin(F.broadcast(cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))))
+    for by in (("x",), ("y",), ("x", "y")):
+        one = one.crossJoin(F.broadcast(ties(*by)))
+    total = F.col("n") * (F.col("n") - 1) / 2
+    low = F.sqrt((total - F.col("t_x")) * (total - F.col("t_y")))
+    return one.select("n", F.try_divide(total - F.col("t_x") - F.col("t_y") + F.col("t_x_y") - 2 * F.col("d"), F.nullif(low, F.lit(0.0))).alias("tau"))
 
 
 def seed_of(label: str) -> int:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
-
 
 def token_windows(n: Column, size: int = 512, overlap: int = 64) -> Column:
     """Starts of sliding windows over ``n`` tokens: a window starts unless the one before already reached the end."""
@@ -89,21 +85,21 @@ def linked_objects(anchors: DataFrame, objects: DataFrame, gap: float = 120.0) -
 def similar_texts(left: DataFrame, right: DataFrame, threshold: float = 0.9, min_tokens: int = 5) -> DataFrame:
     """Best Jaccard match of each left row (id, tokens: distinct array) among right rows, at or above a threshold.
 
-    Prefix filter: two sets at least ``t`` alike share a token among the first ``n - ceil(t n) + 1`` of each, in the
-    order of rarity over both sides; only such pairs are verified, so frequent tokens never form join keys on their own.
+    Prefix filter on the left, smaller, side: of any ``n - ceil(t n) + 1`` tokens of a left set at least one is in every set
+    that is ``t`` alike.  Its rarest tokens are taken, by their frequency on the right, which is counted for tokens of the
+    left alone; so of the right side's tokens only those rows are shuffled that meet such a token, and frequent ones never
+    become keys.  Sizes must agree too.
     """
-    sides = {"l": left.filter(F.size("tokens") >= min_tokens), "r": right.filter(F.size("tokens") >= min_tokens)}
-    words = reduce(DataFrame.unionByName, [s.select(F.explode("tokens").alias("token")) for s in sides.values()])
-    rarity = words.groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefix(s: DataFrame, p: str) -> DataFrame:
-        each = s.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(rarity, "token")
-        ordered = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-        keep = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)
-        return ordered.select(F.col("id").alias(p + "_id"), F.explode(keep).alias("x")).select(p + "_id", "x.token")
-
-    pairs = prefix(sides["l"], "l").join(prefix(sides["r"], "r"), "token").select("l_id", "r_id").distinct()
-    full = pairs.join(sides["l"].select(F.col("id").alias("l_id"), F.col("tokens").alias("lt")), "l_id").join(sides["r"].select(F.col("id").alias("r_id"), F.col("tokens").alias("rt")), "r_id")
+    l, r = left.filter(F.size("tokens") >= min_tokens), right.filter(F.size("tokens") >= min_tokens)
+    words = l.select(F.explode("tokens").alias("token"))
+    frequent = r.select(F.explode("tokens").alias("token")).join(words.distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    each = l.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequent, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ordered = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    keep = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)
+    rare = ordered.select(F.col("id").alias("l_id"), F.col("n").alias("ln"), F.explode(keep).alias("x")).select("l_id", "ln", "x.token")
+    near = (F.col("rn") >= threshold * F.col("ln") - 1e-9) & (F.col("ln") >= threshold * F.col("rn") - 1e-9)
+    pairs = r.select(F.col("id").alias("r_id"), F.size("tokens").alias("rn"), F.explode("tokens").alias("token")).join(rare, "token").filter(near).select("l_id", "r_id").distinct()
+    full = pairs.join(l.select(F.col("id").alias("l_id"), F.col("tokens").alias("lt")), "l_id").join(r.select(F.col("id").alias("r_id"), F.col("tokens").alias("rt")), "r_id")
     both = F.size(F.array_intersect("lt", "rt"))
     jaccard = both / (F.size("lt") + F.size("rt") - both)
     scored = full.select("l_id", "r_id", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
@@ -124,5 +120,3 @@ def section_of(position: Column, per: int = 4) -> Column:
     """The stand-in section of a line: every ``per`` lines."""
     return F.concat(F.lit("s"), F.floor(position / per).cast("string"))
 
-
-__all__ = ["T", "atomic_units", "evidence_class", "fixed_units", "linked_objects", "object_labels", "package_units", "paragraph_spans", "section_of", "similar_texts", "token_windows"]

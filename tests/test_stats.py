@@ -13,7 +13,7 @@ from lodestone.operators import stats as A
 from lodestone.operators import units as U
 
 
-def test_kendall_against_pairs():
+def test_kendall_against_pairs(spark):
     rng = np.random.default_rng(3)
     x, y = rng.integers(0, 8, 120).astype(float), rng.integers(0, 6, 120).astype(float)
     s = ux = uy = 0
@@ -22,8 +22,29 @@ def test_kendall_against_pairs():
             s += np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
             ux += x[i] != x[j]
             uy += y[i] != y[j]
-    assert A.kendall(x, y) == pytest.approx(s / (ux * uy) ** 0.5)
-    assert A.kendall(np.ones(4), np.arange(4.0)) is None
+    rows = [*zip(x.tolist(), y.tolist()), (None, 1.0), (2.0, None)]
+    row = A.kendall_counts(spark.createDataFrame(rows, "a double, b double").repartition(3), "a", "b").first()
+    assert row.n == 120 and row.tau == pytest.approx(s / (ux * uy) ** 0.5)
+    assert A.kendall_counts(spark.createDataFrame([(1.0, float(i)) for i in range(4)], "a double, b double"), "a", "b").first().tau is None
+    z = rng.normal(size=2000)
+    smooth = A.kendall_counts(spark.createDataFrame([(float(v), float(v * v)) for v in z], "a double, b double"), "a", "b").first().tau
+    want = (np.sign(z[:, None] - z[None]) * np.sign((z * z)[:, None] - (z * z)[None])).sum() / (2000 * 1999)
+    assert smooth == pytest.approx(want)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    right = [(i, [f"w{k}" for k in sorted(set(rng.zipf(1.3, 30) % 60))]) for i in range(80)]
+    left = [(1000 + i, [*t[: len(t) - int(rng.integers(0, 3))], *[f"x{j}" for j in range(int(rng.integers(0, 2)))]]) for i, t in right[:40]]
+    left, right = ([(i, t) for i, t in side if len(t) >= 5] for side in (left, right))
+    want = {}
+    for i, a in left:
+        best = max(((len(set(a) & set(b)) / len(set(a) | set(b)), -k) for k, b in right), default=(0, 0))
+        if best[0] >= 0.8:
+            want[i] = (-best[1], round(best[0], 9))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r.l_id: (r.r_id, round(r.jaccard, 9)) for r in U.similar_texts(frame(left), frame(right), 0.8).collect()}
+    assert want and got == want
 
 
 def test_fleiss_undefined_when_all_agree(spark):
