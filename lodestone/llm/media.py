@@ -72,6 +72,19 @@ def recipe(p: bytes, ends: list[int]) -> list[dict]:
     return [{"digest": hashlib.sha256(p[lo:hi]).digest(), "size": hi - lo} for lo, hi in zip([0, *ends], ends)]
 
 
+def head(recipe: list[dict]) -> bytes:
+    """What a store row keeps of the chunk list: a mark, the number of chunks, then digest and size of each."""
+    return MAGIC + len(recipe).to_bytes(8, "big") + b"".join(r["digest"] + r["size"].to_bytes(4, "big") for r in recipe)
+
+
+def chunk_list(raw: bytes) -> list[tuple[bytes, int]]:
+    """The digests and sizes in a stored head."""
+    n = int.from_bytes(raw[4:12], "big")
+    if raw[:4] != MAGIC or len(raw) != 12 + 36 * n:
+        raise ValueError("a stored chunk list is damaged")
+    return [(raw[i : i + 32], int.from_bytes(raw[i + 32 : i + 36], "big")) for i in range(12, len(raw), 36)]
+
+
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         shas, lists = [], []
@@ -108,10 +121,10 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if shared.get(k, True):
                         rows.append({"seq": k, "data": p[lo:hi], "shared": k in shared})
                 own.append(rows)
-                lists.append(recipe(p, ends))
+                lists.append(head(recipe(p, ends)))
                 linked.append(len(rows) < len(ends))
                 lends.append(any(shared.values()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, _LIST), pa.array(lends, pa.bool_()), pa.array(own, _STORED), pa.array(linked, pa.bool_())], names=["sha", "recipe", "lends", "own", "linked"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary()), pa.array(lends, pa.bool_()), pa.array(own, _STORED), pa.array(linked, pa.bool_())], names=["sha", "head", "lends", "own", "linked"])
 
 
 def feature(samples: np.ndarray) -> str:
@@ -122,23 +135,27 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sha, recipe, own, foreign) to features of the rebuilt payloads."""
+    """Rows (sha, head, own, foreign) to features of the rebuilt payloads.
+
+    The stored form of a payload is its head and its chunks in order, all of them bytes read from the store.
+    """
     for b in batches:
         out = []
-        for sha, recipe, own, foreign in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for sha, raw, own, foreign in zip(*(b.column(i).to_pylist() for i in range(4))):
             parts = {x["seq"]: x["data"] for x in own}
             parts.update((x["seq"], x["data"]) for x in foreign or ())
-            chunks = [parts[i] for i in range(len(recipe))]
-            for c, r in zip(chunks, recipe):
-                if hashlib.sha256(c).digest() != r["digest"]:
+            listed = chunk_list(raw)
+            chunks = [parts[i] for i in range(len(listed))]
+            for c, (digest, size) in zip(chunks, listed):
+                if len(c) != size or hashlib.sha256(c).digest() != digest:
                     raise ValueError("a stored chunk does not match its digest")
             p = b"".join(chunks)
-            if hashlib.sha256(p).digest() != sha:
+            whole = hashlib.sha256(p)
+            if whole.digest() != sha:
                 raise ValueError("a rebuilt payload does not match its digest")
-            head = MAGIC + len(recipe).to_bytes(8, "big") + b"".join(r["digest"] + r["size"].to_bytes(4, "big") for r in recipe)
-            stored = hashlib.sha256(head)
+            stored = hashlib.sha256(raw)
             stored.update(p)
-            out.append((sha, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-SAMPLES:]), len(head) + len(p), stored.hexdigest(), len(recipe), feature(np.frombuffer(p, np.uint8))))
+            out.append((sha, len(p), whole.hexdigest(), zlib.crc32(p[-SAMPLES:]), len(raw) + len(p), stored.hexdigest(), len(listed), feature(np.frombuffer(p, np.uint8))))
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         columns = list(zip(*out)) if out else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_chunks", "feature"])
@@ -161,13 +178,14 @@ def store_media(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
     src = docs.select(F.col(f"`{text_col}`").alias("text"))
     payloads = stage(spark, src.mapInArrow(lean(_recipes), f"sha binary, recipe {_RECIPE}").groupBy("sha").agg(F.first("recipe").alias("recipe")), "media-recipes")
     places = payloads.select("sha", F.posexplode("recipe").alias("seq", "chunk")).select("sha", "seq", "chunk.digest")
-    owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("sha", "seq")).alias("owner")).filter("n > 1")
+    owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("sha", "seq")).alias("owner")).filter("n > 1").select("digest", "owner")
+    owners = stage(spark, owners, "media-owners")  # staged, the join can split a chunk that very many payloads hold
     shared = places.join(owners, "digest").select("sha", "seq", "digest", (F.struct("sha", "seq") == F.col("owner")).alias("owned"))
     shared = stage(spark, shared, "media-shared")
-    drop_staged(spark, payloads)
+    drop_staged(spark, payloads, owners)
     marks = shared.groupBy("sha").agg(F.collect_list(F.struct("seq", "owned")).alias("marks"))
     texts = src.mapInArrow(lean(_squeezed), "sha binary, z binary").groupBy("sha").agg(F.first("z").alias("z"))
-    stored = texts.join(marks, "sha", "left").select("sha", "z", "marks").mapInArrow(lean(_stored), f"sha binary, recipe {_RECIPE}, lends boolean, own array<struct<seq:int,data:binary,shared:boolean>>, linked boolean")
+    stored = texts.join(marks, "sha", "left").select("sha", "z", "marks").mapInArrow(lean(_stored), "sha binary, head binary, lends boolean, own array<struct<seq:int,data:binary,shared:boolean>>, linked boolean")
     return shared, stage(spark, stored, "media-store", ["linked"], level=9)
 
 
@@ -181,8 +199,8 @@ def read_media(shared: DataFrame, store: DataFrame) -> DataFrame:
     lent = store.filter("lends").select("sha", F.explode("own").alias("c")).filter("c.shared").select("sha", "c.seq", "c.data")
     lent = lent.join(shared.filter("owned").select("sha", "seq", "digest"), ["sha", "seq"]).select("digest", "data")
     foreign = shared.filter("not owned").select("sha", "seq", "digest").join(lent, "digest").groupBy("sha").agg(F.collect_list(F.struct("seq", "data")).alias("foreign"))
-    alone = store.filter("not linked").select("sha", "recipe", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("foreign"))
-    linked = store.filter("linked").select("sha", "recipe", "own").join(foreign, "sha", "left")
+    alone = store.filter("not linked").select("sha", "head", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("foreign"))
+    linked = store.filter("linked").select("sha", "head", "own").join(foreign, "sha", "left")
     return alone.unionAll(linked).mapInArrow(lean(_features), fields)
 
 
