@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_path, lean, stage, utf8
+from lodestone.llm.common import drop_staged, fresh_path, lean, stage, utf8
 
 REVISIT_MIN = 1000
 READ_MAX, GAP_MAX = 4 << 20, 1 << 16
@@ -100,11 +100,13 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
     body = F.coalesce(F.col("html"), F.lit(""))
     src = src.withColumn("digest", F.sha1(body.cast("binary")))
     long = src.filter(F.octet_length(body) >= revisit_min).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    keepers = long.filter("n > 1").select("digest", "keeper")
+    keepers = stage(spark, long.filter("n > 1").select("digest", "keeper"), "warc-keepers")  # staged, the join can split a hot payload
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")), F.col("keeper")).alias("refers_to")
     rows = src.join(keepers, "digest", "left").select("page_id", "url", "html", "digest", refers_to)
     kind = src.schema["page_id"].dataType.simpleString()
-    return stage(spark, rows.mapInArrow(lean(_writer(fresh_path(spark, "warc"))), INDEX.format(kind=kind)), "warc-index")
+    index = stage(spark, rows.mapInArrow(lean(_writer(fresh_path(spark, "warc"))), INDEX.format(kind=kind)), "warc-index")
+    drop_staged(spark, keepers)
+    return index
 
 
 def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -168,6 +170,6 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_i
 
     Defined cases: NULL html is an empty payload; a NULL URL has no target field; a row with a NULL id revisits the
     largest id of its payload, or is a response where all are NULL; rows repeating the largest id are responses all;
-    an empty table writes no archive.
+    other columns are not read; an empty table writes no archive.
     """
     return read_archives(write_archives(spark, pages, id_col, url_col, html_col))
