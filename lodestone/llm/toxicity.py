@@ -321,7 +321,8 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
     """(id, keep .., score, total, most, spans) of every row, over its whole text.
 
     ``spans`` are the code-point offsets of tokens whose marginal reaches ``SPAN``.  NULL and empty texts have no
-    token and get the curve's lowest score; an empty table gives none.
+    token and get the curve's lowest score; rows are scored one by one, so NULL and repeated ids are as good as others;
+    other columns are not read, and ``keep`` passes some through under any name; an empty table gives none.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -335,11 +336,11 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
                 t, p, x = evidence(m, texts)
                 xs.append(x)
                 own: list[list] = [[] for _ in texts]
-                for j in np.flatnonzero(p >= SPAN):
-                    d = t.doc[j]
-                    base = t.at[d]
-                    lead = lambda i: int(np.count_nonzero((t.buf[base:i] & 0xC0) != 0x80))  # noqa: B023, E731
-                    own[d].append({"start": lead(t.start[j]), "end": lead(t.end[j]), "p": float(p[j])})
+                if len(hit := np.flatnonzero(p >= SPAN)):
+                    lead = np.concatenate(([0], np.cumsum((t.buf & 0xC0) != 0x80)))  # characters before each byte
+                    base = lead[t.at[t.doc[hit]]]
+                    for d, lo, hi, q in zip(t.doc[hit].tolist(), (lead[t.start[hit]] - base).tolist(), (lead[t.end[hit]] - base).tolist(), p[hit].tolist()):
+                        own[d].append({"start": lo, "end": hi, "p": q})
                 spans += own
             x = np.concatenate(xs, 1)
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], pa.array(score(m, x)), pa.array(x[0]), pa.array(x[1]), pa.array(spans, _SPANS)], names=[*b.schema.names[:n_keys], "score", "total", "most", "spans"])
