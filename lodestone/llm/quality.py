@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as W
-from lodestone.llm.common import in_bytes, lean, utf8
+from lodestone.llm.common import in_bytes, lean, stage, utf8
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -132,7 +132,12 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, policy: str = "v1", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` (no base rule and no rule of the policy fails)."""
+    """The ledger with ``base_failed`` and ``kept`` (no base rule and no rule of the policy fails).
+
+    The ledger is a table in the shared folder, and the policy is applied to it; only where the text is carried along does
+    it stay in the same pass.  Its defined cases are those of ``ledger``.
+    """
     rows = ledger(docs, text_col, keep, carry_text)
+    rows = rows if carry_text else stage(spark, rows, "quality-ledger")
     base_failed = F.col("failures").bitwiseAND(F.lit(BASE)) != 0
     return rows.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict(policy))

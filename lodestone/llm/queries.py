@@ -83,6 +83,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and with others, from the stored ledger."""
+    return quality.ablation(quality.quality_rules(spark, _table(spark, sf_dir, "documents")))
+
+
+QUALITY_ABLATION_SQL = f"""
+WITH g AS ({OP5_SQL}), b AS (SELECT unnest([{", ".join(f"'{k}'" for k in quality.RULES)}]) AS rule, unnest([{", ".join(map(str, quality.BITS.values()))}])::BIGINT AS bit)
+SELECT rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures = bit) AS n_failed_alone, count(*) FILTER (failures & ~bit = 0) AS n_kept_without FROM g, b GROUP BY rule
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     import public_tokenizers
@@ -130,7 +141,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(spark, docs, _table(spark, sf_dir, "labels"))
     found = toxicity.score_documents(docs, model)
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
-    return found.select(F.col("id").alias("doc_id"), (crc_mod4("id") == 2).alias("held_out"), "score", predicted, F.size("spans").cast("long").alias("n_spans"))
+    return found.select(F.col("id").alias("doc_id"), (crc_mod4("id") == 2).alias("held_out"), "score", predicted, F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
 def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +153,9 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"quality_ablation": quality_ablation}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name in queries() if (sql := globals().get(name.split("_")[0].upper() + "_SQL"))}
+    names = {name: name.split("_")[0] if name.startswith("op") else name for name in queries()}
+    return {name: sql for name, short in names.items() if (sql := globals().get(short.upper() + "_SQL"))}
