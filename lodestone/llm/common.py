@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,20 @@ STAGING = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }
 _own: list[str] = []
+_lock = threading.RLock()
 _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder of this process is used.
+    Only in a local session (as in tests) that leaves it unset, a temporary folder of this process is used; executors
+    elsewhere would not see it.
     """
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _own[0]
@@ -40,7 +45,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @contextlib.contextmanager
 def staging(spark: SparkSession):
-    """The session's settings while a staged table is written."""
+    """The session's settings while a staged table is written, by one thread at a time."""
+    _lock.acquire()
     before = {k: spark.conf.get(k, None) for k in STAGING}
     for k, v in STAGING.items():
         spark.conf.set(k, v)
@@ -49,6 +55,7 @@ def staging(spark: SparkSession):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        _lock.release()
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
