@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its hashed byte 3-, 4- and 5-grams (letters in lower case, everything else in
 ASCII a single space), classified by a linear softmax.  Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on segments of a bounded, stratified sample; a held-back part of the sample fits the
-temperature of the scores and the score below which a prediction is rejected.
+gradient descent in numpy on segments of a bounded, stratified sample; the whole texts of documents held back from it fit
+the temperature of the scores and the score below which a prediction is rejected.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from lodestone.llm import words as W
 from lodestone.llm.common import crc_mod4, in_bytes, lean, utf8
 
 BUCKET_BITS, WIDTH = 17, 12
-#: Documents sampled per language, and segments of each.
-PER_LANGUAGE, SEGMENTS = 600, 4
+#: Documents sampled per language, segments of each, the share held back to calibrate on (one in ``HOLD``), and languages
+#: learned, the most frequent first.
+PER_LANGUAGE, SEGMENTS, HOLD, LANGUAGES_MAX = 600, 4, 5, 256
 #: Passes over the sample, raised for small samples to reach ``STEPS`` updates.
 EPOCHS, STEPS, BATCH, RATE = 4, 2500, 16, 16.0
 TARGET_PRECISION = 0.995
@@ -90,14 +91,13 @@ def segments(text: bytes, seed: int, n: int = SEGMENTS) -> list[bytes]:
 
 
 def train(samples: list[bytes], labels: list[str], seed: int = 11) -> Model:
-    """Fit embeddings and softmax by SGD on four fifths of the segments; calibrate on the rest."""
+    """Fit embeddings and softmax by SGD on labelled segments."""
     languages = sorted(set(labels))
     if not samples:
         return Model([UNKNOWN], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1))
     y = np.searchsorted(languages, labels)
     rng = np.random.Generator(np.random.PCG64(seed))
-    order = rng.permutation(len(samples))
-    hold, fit = order[: len(order) // 5], order[len(order) // 5 :]
+    fit = rng.permutation(len(samples))
     idx, at = grams(samples)
     emb = (rng.random((1 << BUCKET_BITS, WIDTH)).astype(np.float32) - 0.5) / WIDTH
     soft = np.zeros((WIDTH, len(languages)), np.float32)
@@ -110,32 +110,42 @@ def train(samples: list[bytes], labels: list[str], seed: int = 11) -> Model:
             rows = fit[i : i + BATCH]
             size = at[rows + 1] - at[rows]
             flat = np.concatenate([idx[at[r] : at[r + 1]] for r in rows])
-            first = np.cumsum(size) - size
-            h = np.add.reduceat(emb[flat], first) / size[:, None]
-            z = h @ soft + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            rate = RATE * (1 - steps / total) / len(rows)
-            back = (p @ soft.T) * (rate / size[:, None])
-            soft -= rate * (h.T @ p)
-            bias -= 0.1 * rate * p.sum(0)
-            np.subtract.at(emb, flat, np.repeat(back.astype(np.float32), size, 0))
+            _, by_emb, by_soft, by_bias = gradients(emb, soft, bias, flat, size, y[rows])
+            rate = RATE * (1 - steps / total)
+            soft -= rate * by_soft
+            bias -= 0.1 * rate * by_bias
+            np.subtract.at(emb, flat, (rate * by_emb).astype(np.float32))
             steps += 1
         fit = rng.permutation(fit)
-    model = Model(languages, (emb @ soft).astype(np.float32), bias.astype(np.float64))
-    hold = hold if len(hold) else order
-    z = logits(model, [samples[i] for i in hold])
+    return Model(languages, (emb @ soft).astype(np.float32), bias.astype(np.float64))
+
+
+def gradients(emb: np.ndarray, soft: np.ndarray, bias: np.ndarray, flat: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean loss of a batch and its gradients by the used buckets' embeddings (in the order of ``flat``), softmax and bias."""
+    n = len(size)
+    h = np.add.reduceat(emb[flat], np.cumsum(size) - size) / size[:, None]
+    z = h @ soft + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = float(-np.log(p[np.arange(n), y]).mean())
+    p[np.arange(n), y] -= 1
+    return loss, np.repeat((p @ soft.T) / (n * size[:, None]), size, 0), h.T @ p / n, p.sum(0) / n
+
+
+def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
+    """Fit temperature and rejection level to the logits of documents that the model has not seen."""
+    if not len(z):
+        return
+    top = z.max(1, keepdims=True)
     grid = np.geomspace(0.02, 4, 60)
-    loss = [-(z[np.arange(len(hold)), y[hold]] / t - np.log(np.exp((z - z.max(1, keepdims=True)) / t).sum(1)) - z.max(1) / t).mean() for t in grid]
+    loss = [-((z[np.arange(len(z)), y] - top[:, 0]) / t - np.log(np.exp((z - top) / t).sum(1))).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = probabilities(model, z)
-    top, right = p.max(1), p.argmax(1) == y[hold]
-    by = np.argsort(-top)
+    best, right = p.max(1), p.argmax(1) == y
+    by = np.argsort(-best, kind="stable")
     precision = np.cumsum(right[by]) / np.arange(1, len(by) + 1)
     good = np.flatnonzero(precision >= TARGET_PRECISION)
-    model.reject_below = float(top[by[good[-1]]]) if len(good) else 1.0
-    return model
+    model.reject_below = float(best[by[good[-1]]]) if len(good) else 1.0
 
 
 def logits(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -161,26 +171,49 @@ def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Train on rows with a language whose crc32(id) modulo 4 is not 2; at most about ``per_language`` rows each.
 
-    The sample is a hash sample, so it does not depend on partitioning; only its segments (some hundred bytes each)
-    come to the driver.
+    The sample is a hash sample, so it does not depend on partitioning.  Of one document in ``HOLD`` only the logits of the
+    whole text come to the driver, to calibrate on; of the others segments of some hundred bytes.  Languages beyond the
+    ``LANGUAGES_MAX`` most frequent are not learned, which bounds the model where labels are dirty.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     src = src.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4("id") != 2))
-    counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MAX).collect()}
     if not counts:
         return train([], [])
     seed = F.xxhash64(F.col("id").cast("string"), F.lit("language"))
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
+    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()], F.lit(0.0))
     chosen = src.withColumn("seed", seed).filter(F.pmod("seed", F.lit(1 << 20)) < rate * (1 << 20)).select("seed", "lang", "text")
-    rows = sorted(chosen.mapInArrow(lean(_segmented), "seed long, lang string, part binary").collect())
-    return train([bytes(r["part"]) for r in rows], [r["lang"] for r in rows])
+    held = F.pmod(F.shiftright("seed", 20), F.lit(HOLD)) == 0
+    rows = sorted(chosen.filter(~held).mapInArrow(lean(_segmented), "seed long, lang string, part binary").collect())
+    model = train([bytes(r["part"]) for r in rows], [r["lang"] for r in rows])
+    known = chosen.filter(held & F.col("lang").isin(model.languages))
+    tests = sorted(known.mapInArrow(lean(_scored(model)), "lang string, z array<double>").collect())
+    z = np.array([r["z"] for r in tests]).reshape(len(tests), len(model.languages))
+    calibrate(model, z, np.searchsorted(model.languages, [r["lang"] for r in tests]))
+    return model
+
+
+def _scored(model: Model):
+    """Rows (seed, lang, text) to (lang, z): the logits of whole texts that have a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, zs = [], []
+            for first, texts in in_bytes(utf8(b.column(2)), CHUNK):
+                keep = [i for i, t in enumerate(texts) if has_letter(t)]
+                langs += [b.column(1)[first + i].as_py() for i in keep]
+                zs += list(logits(model, [texts[i] for i in keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(zs, pa.list_(pa.float64()))], names=["lang", "z"])
+
+    return run
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, accepted) of every row, over its whole text.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 where the text is NULL or has no letter;
-    ``accepted`` is false where the calibrated score lies below the rejection level.  An empty table gives none.
+    ``accepted`` is false where the calibrated score lies below the rejection level.  Rows are scored one by one, so NULL
+    and repeated ids are as good as others; other columns are not read; an empty table gives none.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()

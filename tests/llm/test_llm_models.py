@@ -40,6 +40,45 @@ def test_language_learns_from_the_right_rows(spark):
     assert a.languages == b.languages and np.array_equal(a.table, b.table) and a.temperature == b.temperature
 
 
+def test_language_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    emb, soft, bias = rng.normal(size=(9, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    flat, size, y = rng.integers(0, 9, 12), np.array([5, 3, 4]), np.array([2, 0, 1])
+    loss, by_emb, by_soft, by_bias = language_id.gradients(emb, soft, bias, flat, size, y)
+    whole = np.zeros_like(emb)
+    np.add.at(whole, flat, by_emb)
+    for x, g in ((emb, whole), (soft, by_soft), (bias, by_bias)):
+        for i in np.ndindex(x.shape):
+            x[i] += 1e-6
+            more = language_id.gradients(emb, soft, bias, flat, size, y)[0]
+            x[i] -= 1e-6
+            assert abs((more - loss) / 1e-6 - g[i]) < 1e-4
+
+
+def test_field_gradients_by_differences():
+    """The gradient of the log-likelihood by a potential is label minus marginal, by a transition seen minus expected."""
+    rng = np.random.default_rng(4)
+    n = 5
+    u, pair, y = rng.normal(size=n), rng.normal(size=(2, 2)), rng.integers(0, 2, n)
+
+    def score(path):
+        return sum(u[t] for t in range(n) if path[t]) + sum(pair[a, b] for a, b in itertools.pairwise(path))
+
+    def loglik():
+        return score(y) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=n)))
+
+    p, expected = toxicity.marginals(u, np.array([0]), np.array([n]), pair)
+    seen = np.zeros((2, 2))
+    for a, b in itertools.pairwise(y):
+        seen[a, b] += 1
+    before = loglik()
+    for x, g in ((u, y - p), (pair, seen - expected)):
+        for i in np.ndindex(x.shape):
+            x[i] += 1e-6
+            assert abs((loglik() - before) / 1e-6 - g[i]) < 1e-4
+            x[i] -= 1e-6
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     size = np.array([3, 1, 5])
