@@ -286,7 +286,9 @@ def _labelled(spark: SparkSession, fps: DataFrame, least: DataFrame, edges: Data
 
 
 #: Near copies: shingle words, fingerprint bits, bands of smallest shingle hashes that name the groups, and tile size.
-NEAR_SHINGLE, NEAR_BITS, BANDS, ROWS, TILE = 5, 256, 16, 3, 512
+NEAR_SHINGLE, NEAR_BITS, BANDS, ROWS, TILE = 5, 256, 16, 3, 256
+#: Sketches of a group, and texts of a component, that one task compares without leaders.
+NEAR_GROUP = 256
 #: Leaders of a large group in each round.
 LEADERS = (1, 4)
 _WIDTH = NEAR_BITS // 8
@@ -536,7 +538,7 @@ def led(spark: SparkSession, rows: DataFrame, by: list[str], pay: list[str], nea
     return edges, pairs.select(*by, "fp", *pay, F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"))
 
 
-def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, group_max: int = GROUP_MAX) -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, group_max: int = NEAR_GROUP) -> DataFrame:
     """(id, fp, component): near copies, that is texts linked by pairs whose sets of five-word shingles have a Jaccard
     similarity of ``similarity`` at least; ``fp`` names the set of a row.
 
