@@ -322,8 +322,10 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
 
     ``spans`` are the code-point offsets of tokens whose marginal reaches ``SPAN``.  NULL and empty texts have no
     token and get the curve's lowest score; rows are scored one by one, so NULL and repeated ids are as good as others;
-    other columns are not read, and ``keep`` passes some through under any name; an empty table gives none.
+    other columns are not read; ``keep`` passes some through under any name, but those named like a result give way to it;
+    an empty table gives none.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("id", "score", "total", "most", "spans"))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_keys = 1 + len(keep)
