@@ -55,6 +55,15 @@ def unicode_clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(normal, r"[\p{Cc}\p{Cf}&&[^\t\n\r]]", ""), r"(?U)\s+", " "))
 
 
+def normal_form(c: Column, compat: bool = True, fold: bool = False) -> Column:
+    """White space collapsed and stripped; with ``compat`` after NFKC, with ``fold`` in full case folding.
+
+    The combinations are different normal forms and must not be mixed.
+    """
+    out = F.trim(F.regexp_replace(nfkc(c) if compat else c, r"(?U)\s+", " "))
+    return casefold(out) if fold else out
+
+
 def ascii_clean(c: Column) -> Column:
     """Control characters out, ASCII white space collapsed and stripped."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""), "[ \\t\\n\\r]+", " "))

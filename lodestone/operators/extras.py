@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.scaling import design
 from lodestone.operators.stats import UNITS_MAX, seed_of
 
 
@@ -80,6 +81,11 @@ def nb_deviance(y: Column, mu: Column, alpha: float) -> Column:
     return 2 * (first - (y + 1 / alpha) * F.log((1 + alpha * y) / (1 + alpha * mu)))
 
 
+def nb_zero(mu: Column, alpha: float) -> Column:
+    """Probability of zero under NB2."""
+    return F.pow(1 + alpha * mu, F.lit(-1 / alpha))
+
+
 def poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, float]:
     """Poisson regression with offset: (coefficients, Pearson dispersion)."""
     beta = np.zeros(x.shape[1])
@@ -93,6 +99,18 @@ def poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> tuple[np.ndarra
     return beta, float(((y - mu) ** 2 / mu).sum() / max(1, len(y) - len(beta)))
 
 
+def fit_poisson(df: DataFrame, by: str, columns: list[str], target: str, exposure: str) -> DataFrame:
+    """One Poisson model per group, with log exposure as offset: (by, term, estimate, dispersion, n_rows)."""
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(frame.columns))
+        x, _, _ = design(frame, columns)
+        beta, dispersion = poisson(x, frame[target].to_numpy(float), np.log(frame[exposure].to_numpy(float)))
+        return pd.DataFrame({by: key[0], "term": ["intercept", *columns], "estimate": beta, "dispersion": dispersion, "n_rows": len(frame)})
+
+    return df.groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, term string, estimate double, dispersion double, n_rows long")
+
+
 def utility_judgment(gain: Column, low: Column, holm_p: Column, level: float = 0.05) -> Column:
     """``supported`` where the gain is positive and significant with its interval above zero, then ``directional``, ``not_supported``."""
     return F.when((gain > 0) & (low > 0) & (holm_p < level), "supported").when(gain > 0, "directional").otherwise("not_supported")

@@ -64,8 +64,11 @@ def package_units(paras: DataFrame, section: Column) -> DataFrame:
 def object_labels(c: Column) -> Column:
     """Labels such as ``figure 3`` or ``table 2`` that a text mentions, distinct and sorted."""
     kinds = {"figure": r"\bfig(?:ure|s)?\.?\s*([0-9]+)", "table": r"\btab(?:le)?\.?\s*([0-9]+)", "formula": r"\b(?:eq(?:uation)?|formula)\.?\s*([0-9]+)"}
-    found = [F.transform(F.regexp_extract_all(F.lower(c), F.lit(r), 1), lambda x, k=k: F.concat(F.lit(k + " "), x)) for k, r in kinds.items()]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+    def found(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(c), F.lit(kinds[kind]), 1), lambda x: F.concat(F.lit(kind + " "), x))
+
+    return F.array_sort(F.array_distinct(F.concat(*map(found, kinds))))
 
 
 def linked_objects(anchors: DataFrame, objects: DataFrame, gap: float = 120.0) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import corpus_queries, detection_queries, evaluation_queries, extra_queries, retrieval_queries, scaling_queries, selection_queries, source_queries, verification_queries
+from lodestone.plans import corpus_queries, detection_queries, evaluation_queries, extra_queries, release_queries, retrieval_queries, scaling_queries, selection_queries, source_queries, verification_queries
 
-_MODULES = (corpus_queries, selection_queries, retrieval_queries, detection_queries, scaling_queries, source_queries, extra_queries, evaluation_queries, verification_queries)
+_MODULES = (corpus_queries, selection_queries, retrieval_queries, detection_queries, scaling_queries, source_queries, extra_queries, evaluation_queries, verification_queries, release_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,13 +51,14 @@ def leave_top_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.leave_top_out(yields(spark, sf_dir), ["task"], "n", "source").groupBy("task").agg(F.count("*").alias("n_sources"), T.round6(F.avg("n")).alias("mean"))
 
 
-@query("nb_deviance", f"""WITH {YIELDS}, m AS (SELECT *, avg(n) OVER (PARTITION BY task) AS mu FROM yields) SELECT task, {R6.format('sum(2 * ((CASE WHEN n > 0 THEN n * ln(n / mu) ELSE 0 END) - (n + 2) * ln((1 + 0.5 * n) / (1 + 0.5 * mu))))')} AS deviance FROM m GROUP BY task""")
+@query("nb_deviance", f"""WITH {YIELDS}, m AS (SELECT *, avg(n) OVER (PARTITION BY task) AS mu FROM yields) SELECT task, {R6.format('sum(2 * ((CASE WHEN n > 0 THEN n * ln(n / mu) ELSE 0 END) - (n + 2) * ln((1 + 0.5 * n) / (1 + 0.5 * mu))))')} AS deviance, count(*) FILTER (n = 0) AS zeros, {R6.format('sum(pow(1 + 0.5 * mu, -2))')} AS expected_zeros FROM m GROUP BY task""")
 def nb_deviance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null deviance of yields at alpha 0.5."""
+    """Null deviance of yields at alpha 0.5, and zeros found against zeros expected."""
     y = yields(spark, sf_dir)
     mu = y.groupBy("task").agg(F.avg("n").alias("mu"))
     d = X.nb_deviance(F.col("n").cast("double"), F.col("mu"), 0.5)
-    return y.join(F.broadcast(mu), "task").groupBy("task").agg(T.round6(F.sum(d)).alias("deviance"))
+    zero = F.sum(X.nb_zero(F.col("mu"), 0.5))
+    return y.join(F.broadcast(mu), "task").groupBy("task").agg(T.round6(F.sum(d)).alias("deviance"), F.count_if(F.col("n") == 0).alias("zeros"), T.round6(zero).alias("expected_zeros"))
 
 
 _G = "VALUES ('T1', 0.05, 0.01, 0.003), ('T2', 0.02, -0.01, 0.2), ('T3', -0.01, -0.03, 0.7)"

@@ -14,20 +14,11 @@ from lodestone.plans.selection_queries import yields
 
 query = Registry()
 R6 = "floor(({0})::DOUBLE * 1e6 + 0.5) / 1e6"
-_CASES = " ".join(f"WHEN role = '{k}' AND t = {i} THEN " + " || ".join(f"'{x}'" if x != "@" else "left(coalesce(text, ''), 80)" for x in w.replace("{0}", "\0@\0").split("\0") if x) for k, ws in M.TEMPLATES.items() for i, w in enumerate(ws))
+_CASES = " ".join(f"WHEN role = '{k}' AND t = {i} THEN " + " || ".join(f"'{x}'" if x != "@" else "coalesce(text, '')" for x in w.replace("{0}", "\0@\0").split("\0") if x) for k, ws in M.TEMPLATES.items() for i, w in enumerate(ws))
 
 
-@query("template_render", f"SELECT conv_id, turn, role, t AS template, sha256(CASE {_CASES} END) AS instruction_sha FROM conversations, (SELECT unnest([0, 1, 2]) AS t)")
+@query("template_render", f"""SELECT conv_id, turn, role, t AS template, sha256(CASE {_CASES} END) AS instruction_sha FROM conversations, (SELECT unnest([0, 1, 2]) AS t)""")
 def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three wordings of each turn's instruction, with its first 80 characters as the variable."""
-    t = table(spark, sf_dir, "conversations")
-    variable = F.substring(F.coalesce("text", F.lit("")), 1, 80)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), M.rendered(F.col("role"), variable, i).alias("s")) for i in range(3)])).alias("x")
-    return t.select("conv_id", "turn", "role", each).select("conv_id", "turn", "role", "x.template", F.sha2("x.s", 256).alias("instruction_sha"))
-
-
-@query("template_render_whole", f"""SELECT conv_id, turn, role, t AS template, sha256(CASE {_CASES.replace("left(coalesce(text, ''), 80)", "coalesce(text, '')")} END) AS instruction_sha FROM conversations, (SELECT unnest([0, 1, 2]) AS t)""")
-def template_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three wordings of each turn's instruction, with its whole text as the variable."""
     t = table(spark, sf_dir, "conversations")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), M.rendered(F.col("role"), F.coalesce("text", F.lit("")), i).alias("s")) for i in range(3)])).alias("x")
@@ -180,10 +171,14 @@ def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.out_of_fold(_sources(spark, sf_dir).select("task", "source", "price", "name_len", "n", "tokens").join(ids, "source"), "task", "source", ["price", "name_len"], "n", "tokens", 5)
 
 
-@query("feature_vif")
+_VIF = "c AS (SELECT corr(p_retailprice, length(p_name)) AS a, corr(p_retailprice, p_size) AS b, corr(length(p_name), p_size) AS c FROM part WHERE p_size > 0), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)"
+
+
+@query("feature_vif", f"WITH {_VIF} SELECT 'price' AS feature, {R6.format('(1 - c * c) / det')} AS vif FROM d UNION ALL SELECT 'name_len', {R6.format('(1 - b * b) / det')} FROM d UNION ALL SELECT 'tokens', {R6.format('(1 - a * a) / det')} FROM d")
 def feature_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance inflation of the source features."""
-    return M.variance_inflation(_sources(spark, sf_dir).filter("task = 'A'"), ["price", "name_len", "tokens"])
+    v = M.variance_inflation(_sources(spark, sf_dir).filter("task = 'A'"), ["price", "name_len", "tokens"])
+    return v.select("feature", T.round6(F.col("vif")).alias("vif"))
 
 
 @query("feature_availability", """SELECT 'p_size' AS feature, count(*) - count(p_size) AS n_missing, count(DISTINCT p_size) AS n_distinct FROM part UNION ALL SELECT 'p_retailprice', count(*) - count(p_retailprice), count(DISTINCT p_retailprice) FROM part UNION ALL SELECT 'p_brand', count(*) - count(p_brand), count(DISTINCT p_brand) FROM part""")

@@ -172,7 +172,7 @@ def test_templates_take_the_whole_text(spark):
     from lodestone.plans import catalogue
 
     turns = spark.read.parquet(f"{DATA}/sf0.001/conversations.parquet").filter("length(text) > 80 and role in ('user', 'assistant', 'system')").collect()
-    got = {(r.conv_id, r.turn, r.template): r.instruction_sha for r in catalogue.queries()["template_render_whole"](spark, f"{DATA}/sf0.001").collect()}
+    got = {(r.conv_id, r.turn, r.template): r.instruction_sha for r in catalogue.queries()["template_render"](spark, f"{DATA}/sf0.001").collect()}
     assert turns
     for r in turns:
         for i, w in enumerate(M.TEMPLATES[r.role]):
