@@ -57,13 +57,14 @@ class Vocabulary:
         self.table = W.Table(NONE)
         self.table.put(keys, np.array(list(starts.values())))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, without the blank that encoding puts first."""
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids, without the blank that encoding puts first."""
+        ids = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
         size = self.size[ids]
-        end = np.cumsum(size)
-        if not len(ids):
-            return b""
-        return self.flat[np.repeat(self.begin[ids] - (end - size), size) + np.arange(end[-1])].tobytes()[1:]
+        end = np.concatenate(([0], np.cumsum(size)))
+        raw = self.flat[np.repeat(self.begin[ids] - end[:-1], size) + np.arange(end[-1])].tobytes()
+        at = end[np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)].tolist()
+        return [raw[lo + 1 : hi] for lo, hi in zip(at, at[1:])]
 
 
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
@@ -272,6 +273,19 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((W.mix(key) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def bounds(bound, before: np.ndarray, gone: np.ndarray, seed, nth: np.ndarray) -> np.ndarray:
+    """Perturbed maxima, truncated at the parent's (whose negative is ``bound``), of the rest of the space that branches off at each word.
+
+    ``before`` is the log-probability of the path before the word, ``gone`` the share of the word's paths already taken.
+    """
+    with np.errstate(divide="ignore"):
+        loc = before + np.log(np.maximum(1 - gone, 0))
+    # No rest is left where rounding alone keeps the mass above zero.
+    loc[gone > 1 - 1e-12] = -np.inf
+    noise = np.log(-np.log(_uniform(seed ^ (nth * _C[0] + _C[2]))))
+    return -np.logaddexp(bound, noise - loc)
+
+
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -302,12 +316,21 @@ def segmentations(v: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int =
         place = np.arange(ends[-1] if live else 0) + np.repeat(begin - (ends - size), size)
         seed, nth = salted[row], (place - of[row]).astype(np.uint64)
         edges, at = lat.sample(token[place], lambda p, step: _uniform(seed[p] ^ (nth[p] * _C[1] + np.uint64(step * int(_C[2]) % 2**64))))  # noqa: B023
+        if not turn:  # all texts at once
+            log_p = base[edges]
+            each = np.add.reduceat(log_p, at[:-1]) if len(place) else np.empty(0)
+            # Sums of each text by itself, so that its neighbours in the batch change no digit.
+            before = np.concatenate([np.empty(0), *(np.cumsum(x) - x for x in np.split(each, of[1:-1]))])
+            scores = np.array([x.sum() for x in np.split(log_p, at[of[1:-1]])])
+            v_all = bounds(np.repeat(-top, size), before, np.exp(each), seed, nth)
         for i, (bound, _, node), lo_word, n in zip(live, nodes, (ends - size).tolist(), size.tolist()):
             a, b = int(of[i]), int(of[i + 1])
             lo = int(at[lo_word])
             fresh, cut = edges[lo : at[lo_word + n]], at[lo_word : lo_word + n + 1] - lo
+            need = k - len(found[i])
             if node is None:
-                path, cuts, j, avoid = fresh, cut, 0, []
+                path, cuts, j, avoid, v_max = fresh, cut, 0, [], v_all[a:b]
+                found[i].append((path, float(scores[i]), -bound))
             else:
                 old, old_cuts, j, avoid = node
                 count = [0]
@@ -319,32 +342,29 @@ def segmentations(v: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int =
                 swap = lat.other(int(token[a + j]), avoid, draw)
                 path = np.concatenate((old[: old_cuts[j]], np.array(swap, np.int64), fresh))
                 cuts = np.concatenate((old_cuts[: j + 1], old_cuts[j] + len(swap) + cut))
-            log_p = base[path]
-            found[i].append((path, float(log_p.sum()), -bound))
-            need = k + 1 - len(found[i])
-            if b > a and need > 0:
-                each = np.add.reduceat(log_p, cuts[:-1])
-                before = np.cumsum(each[j:]) - each[j:] + each[:j].sum()
-                gone = np.exp(each[j:])
-                if avoid:
+                log_p = base[path]
+                found[i].append((path, float(log_p.sum()), -bound))
+                if need:
+                    each = np.add.reduceat(log_p, cuts[:-1])
+                    gone = np.exp(each[j:])
                     gone[0] += sum(np.exp(base[p].sum()) for p in avoid)
-                with np.errstate(divide="ignore"):
-                    loc = before + np.log(np.maximum(1 - gone, 0))
-                # No rest is left where rounding alone keeps the mass above zero.
-                loc[gone > 1 - 1e-12] = -np.inf
-                word = np.arange(j, b - a, dtype=np.uint64)
-                noise = np.log(-np.log(_uniform(salted[i] ^ (word * _C[0] + _C[2]))))
-                v_max = -np.logaddexp(bound, noise - loc)
+                    v_max = bounds(bound, np.cumsum(each[j:]) - each[j:] + each[:j].sum(), gone, salted[i], np.arange(j, b - a, dtype=np.uint64))
+            if b > a and need > 0:
                 best = np.argpartition(-v_max, need - 1)[:need] if len(v_max) > need else np.arange(len(v_max))
                 for m in best.tolist():
                     if np.isfinite(v_max[m]):
                         w = m + j
                         seen = [path[cuts[w] : cuts[w + 1]].tolist()] + (avoid if m == 0 and node is not None else [])
                         heapq.heappush(heaps[i], (-float(v_max[m]), len(found[i]) * 10**9 + w, (path, cuts, w, seen)))
+    paths = [p for rows in found for p, _, _ in rows]
+    flat = np.concatenate(paths) if paths else np.empty(0, np.int64)
+    done = np.concatenate(([0], np.cumsum(lat.n_ids[flat])))
+    ends = done[np.cumsum([len(p) for p in paths])] if paths else done[:0]
+    split = iter(np.split(lat.ids(flat), ends[:-1]))
     out = []
     for i, rows in enumerate(found):
         kappa = -heaps[i][0][0] if heaps[i] else -np.inf
-        out.append([(lat.ids(p), lp, g, float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for p, lp, g in rows])
+        out.append([(next(split), lp, g, float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for _, lp, g in rows])
     return out
 
 
@@ -368,7 +388,7 @@ def decode(rows: DataFrame, model: str, id_col: str = "id", ids_col: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            texts = [v.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            texts = [t.decode("utf-8", "replace") for t in v.decode([np.array(x or [], np.int64) for x in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, text string")
@@ -392,9 +412,11 @@ def sample_segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", te
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
             for first, texts in in_bytes(utf8(b.column(2)), CHUNK):
                 out = []
-                for i, (text, rows) in enumerate(zip(texts, segmentations(v, texts, seeds[first : first + len(texts)], k, lat)), first):
+                found = segmentations(v, texts, seeds[first : first + len(texts)], k, lat)
+                decoded = iter(v.decode([row[0] for rows in found for row in rows]))
+                for i, (text, rows) in enumerate(zip(texts, found), first):
                     for nth, (ids, lp, g, q) in enumerate(rows, 1):
-                        back = v.decode(ids)
+                        back = next(decoded)
                         row = (keys[i], nth, len(ids), lp, g, q, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back), back == text)
                         out.append((*row, ids) if with_ids else row)
                 columns = list(zip(*out)) if out else [[] for _ in names]
