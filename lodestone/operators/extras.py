@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.scaling import design
-from lodestone.operators.stats import UNITS_MAX, seed_of
+from lodestone.operators.stats import draw_keys, poisson_weights, ranges
 
 
 def table_text(rows: Column) -> Column:
@@ -116,28 +116,50 @@ def utility_judgment(gain: Column, low: Column, holm_p: Column, level: float = 0
     return F.when((gain > 0) & (low > 0) & (holm_p < level), "supported").when(gain > 0, "directional").otherwise("not_supported")
 
 
-def bootstrap_selection(spark: SparkSession, rows: DataFrame, score: str, other: str, gain: str, fraction: float, label: str, replicates: int = 500) -> DataFrame:
+def bootstrap_selection(rows: DataFrame, unit: str, score: str, other: str, gain: str, fraction: float, label: str, replicates: int = 500, block: int = 1024) -> DataFrame:
     """Bootstrap of the difference in captured gain of two scores, selecting anew in every replicate.
 
-    Units drawn twice count twice; the order breaks ties by position, so every draw is a unit of its own.
+    Units stay distributed and draw Poisson weights; of a unit drawn twice both copies count.  Rows lie in ranges of the
+    score; sums of ranges tell in which range each replicate's budget ends, and only there are its rows walked in order.
     """
-    frame = rows.select(score, other, gain).orderBy(score, other, gain)
-    if frame.count() > UNITS_MAX:
-        raise ValueError("aggregate to fewer units first")
-    table = frame.toPandas().to_numpy(float)
-    base, n = seed_of(label), len(table)
-    shared = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
-        for ids in batches:
-            out = []
-            for r in ids["id"]:
-                own = t[np.random.Generator(np.random.PCG64([base & 0xFFFFFFFF, int(r)])).integers(0, n, n)]
-                k, total = int(np.ceil(fraction * n)), own[:, 2].sum()
-                take = lambda c: own[np.argsort(-own[:, c], kind="stable")[:k], 2].sum() / total if total else np.nan  # noqa: B023, E731
-                out.append(take(0) - take(1))
-            yield pd.DataFrame({"v": out})
-
-    draws = spark.range(0, replicates, 1, max(1, replicates // 50)).mapInPandas(run, "v double")
+    frame = rows.select(F.xxhash64(unit).alias("unit"), F.col(score).cast("double").alias("a"), F.col(other).cast("double").alias("b"), F.col(gain).cast("double").alias("g"))
+    keys = draw_keys(label, np.arange(replicates))
+
+    def ordered(t: pd.DataFrame, c: str) -> tuple[np.ndarray, np.ndarray]:
+        t = t.sort_values([c, "unit"], ascending=[False, True])
+        return t["unit"].to_numpy().view(np.uint64), t["g"].to_numpy()
+
+    def captured(c: str) -> DataFrame:
+        dealt = frame.withColumn("range", ranges(frame, c))
+
+        def sums(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+            units, g = ordered(t, c)
+            total = np.zeros((replicates, 2))
+            for lo in range(0, len(g), block):
+                w = poisson_weights(units[lo : lo + block], keys)
+                total += np.stack((w.sum(0), w.T @ g[lo : lo + block]), 1)
+            return pd.DataFrame({"range": int(key[0]), "r": np.arange(replicates), "w": total[:, 0], "t": total[:, 1]})
+
+        each = dealt.groupBy("range").applyInPandas(sums, "range int, r long, w double, t double")
+        down, whole = Window.partitionBy("r").orderBy(F.desc("range")), Window.partitionBy("r")
+        before = down.rowsBetween(Window.unboundedPreceding, -1)
+        each = each.select("r", "range", "w", "t", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w0"), F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("t0"), F.ceil(fraction * F.sum("w").over(whole)).alias("k"), F.sum("t").over(whole).alias("all"))
+        # One row per replicate: the range in which its budget ends.
+        ends = each.filter((F.col("w0") < F.col("k")) & (F.col("k") <= F.col("w0") + F.col("w"))).select("r", "range", (F.col("k") - F.col("w0")).alias("left"), "t0", "all").toPandas()
+
+        def last(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+            own = ends[ends["range"] == key[0]].sort_values("r")
+            units, g = ordered(t, c)
+            left, got = own["left"].to_numpy(float), np.zeros(len(own))
+            for lo in range(0, len(g), block):
+                w = poisson_weights(units[lo : lo + block], keys[own["r"].to_numpy()])
+                used = np.clip(left - (np.cumsum(w, 0) - w), 0, w)
+                got += used.T @ g[lo : lo + block]
+                left = left - w.sum(0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return pd.DataFrame({"r": own["r"], f"c_{c}": (own["t0"].to_numpy() + got) / own["all"].to_numpy()})
+
+        return dealt.groupBy("range").applyInPandas(last, f"r long, c_{c} double")
+
+    draws = captured("a").join(captured("b"), "r").select((F.col("c_a") - F.col("c_b")).alias("v")).filter(~F.isnan("v"))
     return draws.agg(F.avg("v").alias("mean"), F.expr("percentile(v, array(0.025, 0.975))").alias("q"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count("v") + 1)).alias("p_one_sided")).select("mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_one_sided")

@@ -1,12 +1,13 @@
 """Agreement, tests, correlation, and resampling.
 
-Resampling runs one numpy task per block of replicates over values that are first aggregated to one row per unit of
-resampling; the seed of a replicate depends on its number alone.
+Resampling keeps units distributed: each unit draws a Poisson weight for every replicate, and tasks return partial sums
+per replicate, so nothing limits the number of units.  A weight depends on a label, a replicate and the unit alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Units of resampling that may travel to the workers with a replicate task.
-UNITS_MAX = 200_000
 #: Buckets of units whose partial sums are added in order.
 BUCKETS = 256
 
@@ -210,24 +209,53 @@ def bootstrap_ratio(spark: SparkSession, units: DataFrame, top: str, low: str, l
     return each.agg(F.max(F.when(F.col("r") == 0, F.col("v"))).alias("estimate"), q.alias("q"), p.alias("p")).select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"), "p")
 
 
-def bootstrap_hierarchical(spark: SparkSession, rows: DataFrame, outer: str, item: str, a: str, b: str, label: str, replicates: int = 1000) -> DataFrame:
-    """Bootstrap of mean(a - b): outer units drawn with replacement, items drawn afresh in each slot for both arms."""
+_POISSON = np.cumsum(np.exp(-1.0) / np.array([float(math.factorial(k)) for k in range(18)]))
+
+
+def poisson_weights(units: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """(units, draws) Poisson weights with mean 1, each from the hash of a unit and of a draw."""
+    x = units[:, None] ^ draws[None]
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_POISSON, u, "right")
+
+
+def draw_keys(label: str, *numbers: np.ndarray) -> np.ndarray:
+    """64-bit keys of draws, from a label and their numbers."""
+    out = np.full(len(numbers[0]), seed_of(label), np.uint64)
+    for n in numbers:
+        out = (out ^ n.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def bootstrap_hierarchical(spark: SparkSession, rows: DataFrame, outer: str, item: str, a: str, b: str, label: str, replicates: int = 1000, block: int = 1024) -> DataFrame:
+    """Bootstrap of mean(a - b): outer units drawn with replacement, items drawn afresh in each slot for both arms.
+
+    Outer units (seeds of runs) are few, and their number comes to the driver; items may be any number.
+    """
     frame = rows.select(F.col(outer).alias("o"), F.col(item).alias("i"), (F.col(a) - F.col(b)).cast("double").alias("d")).groupBy("o", "i").agg(F.avg("d").alias("d"))
-    if frame.count() > UNITS_MAX:
-        raise ValueError("aggregate to fewer units first")
-    table = frame.orderBy("o", "i").toPandas()
-    groups = [g["d"].to_numpy() for _, g in table.groupby("o", sort=True)]
+    place = frame.select("o").distinct().withColumn("at", F.row_number().over(Window.orderBy("o")) - 1)
+    n = place.count()
+    numbered = frame.join(F.broadcast(place), "o").withColumn("unit", F.xxhash64("i"))
     base = seed_of(label)
-    shared = spark.sparkContext.broadcast(groups)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for ids in batches:
-            out = []
-            for r in ids["id"]:
-                rng = np.random.Generator(np.random.PCG64([base & 0xFFFFFFFF, int(r)]))
-                out.append(np.mean([own[k][rng.integers(0, len(own[k]), len(own[k]))].mean() for k in rng.integers(0, len(own), len(own))]) if own else np.nan)
-            yield pd.DataFrame({"v": out})
-
-    draws = spark.range(0, replicates, 1, max(1, replicates // 100)).mapInPandas(run, "v double")
-    return draws.agg(F.avg("v").alias("mean"), F.expr("percentile(v, array(0.025, 0.975, 0.95))").alias("q")).select(F.lit(len(groups)).cast("long").alias("n_outer"), "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["unit", "d"])
+        picks = np.stack([np.random.Generator(np.random.PCG64([base & 0xFFFFFFFF, r])).integers(0, n, n) for r in range(replicates)])
+        r, slot = np.nonzero(picks == key[0])
+        keys = draw_keys(label, r, slot)
+        total = np.zeros((len(r), 2))
+        units, d = g["unit"].to_numpy().view(np.uint64), g["d"].to_numpy()
+        for lo in range(0, len(d), block):
+            w = poisson_weights(units[lo : lo + block], keys)
+            total += np.stack((w.T @ d[lo : lo + block], w.sum(0)), 1)
+        return pd.DataFrame({"r": r, "slot": slot, "b": int(key[1]), "t": total[:, 0], "w": total[:, 1]})
+
+    parts = numbered.groupBy("at", F.pmod("unit", F.lit(BUCKETS)).alias("bucket")).applyInPandas(run, "r long, slot long, b long, t double, w double")
+    slots = parts.groupBy("r", "slot").agg(F.sort_array(F.collect_list(F.struct("b", "t", "w"))).alias("x"))
+    total = lambda c: F.aggregate("x", F.lit(0.0), lambda s, x: s + x[c])
+    draws = slots.select("r", "slot", F.try_divide(total("t"), F.nullif(total("w"), F.lit(0.0))).alias("v"))
+    draws = draws.groupBy("r").agg(F.sort_array(F.collect_list("v")).alias("v")).select((F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("v"))
+    return draws.agg(F.avg("v").alias("mean"), F.expr("percentile(v, array(0.025, 0.975, 0.95))").alias("q")).select(F.lit(n).cast("long").alias("n_outer"), "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"))

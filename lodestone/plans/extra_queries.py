@@ -76,8 +76,8 @@ def bootstrap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task score against common score, with selection inside each replicate."""
     ps = yields(spark, sf_dir).withColumn("score", S.percentile_score("n", ["task"]))
     common = ps.groupBy("source").agg(F.avg("score").alias("common"))
-    own = ps.filter("task = 'A'").join(common, "source").select("score", "common", F.col("n").cast("double").alias("gain"))
-    return X.bootstrap_selection(spark, own, "score", "common", "gain", 0.2, "bootstrap_selection")
+    own = ps.filter("task = 'A'").join(common, "source").select("source", "score", "common", F.col("n").cast("double").alias("gain"))
+    return X.bootstrap_selection(own, "source", "score", "common", "gain", 0.2, "bootstrap_selection")
 
 
 @query("evaluation_instances")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lodestone.operators import extras as X
 from lodestone.operators import retrieval as R
 from lodestone.operators import scaling as M
 from lodestone.operators import selection as S
@@ -137,8 +138,43 @@ def test_bootstrap_is_seeded(spark):
     assert a == b and a.lo < a.estimate < a.hi
 
 
-def test_bootstrap_of_any_number_of_units(spark, monkeypatch):
-    monkeypatch.setattr(A, "UNITS_MAX", 10)
+def test_poisson_weights():
+    units = np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64)
+    w = A.poisson_weights(units, A.draw_keys("x", np.arange(50)))
+    assert w.shape == (4000, 50) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.6
+
+
+def test_bootstrap_selection_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(g)) for i, (a, b, g) in enumerate(zip(rng.integers(0, 9, 300), rng.normal(size=300), rng.integers(0, 5, 300)))]
+    df = spark.createDataFrame(rows, "u long, a double, b double, g double")
+    got = X.bootstrap_selection(df.repartition(4), "u", "a", "b", "g", 0.2, "x", 40).first()
+    unit = np.array([r[0] for r in df.select(F.xxhash64("u")).collect()], np.int64)
+    w = A.poisson_weights(unit.view(np.uint64), A.draw_keys("x", np.arange(40)))
+    g = np.array([r[3] for r in rows])
+
+    def capture(column, r):
+        order = np.lexsort((unit, -np.array([row[column] for row in rows])))
+        own = np.repeat(g[order], w[order, r])
+        return own[: int(np.ceil(0.2 * len(own)))].sum() / own.sum()
+
+    draws = [capture(1, r) - capture(2, r) for r in range(40)]
+    assert got.mean == pytest.approx(np.mean(draws)) and [got.lo, got.hi] == pytest.approx(np.percentile(draws, [2.5, 97.5]).tolist())
+
+
+def test_bootstrap_hierarchical(spark):
+    rng = np.random.default_rng(7)
+    rows = [(o, i, float(v), 0.0) for o in range(3) for i, v in enumerate(rng.normal(o, 1, 400))]
+    df = spark.createDataFrame(rows, "o long, i long, a double, b double")
+    one, two = (A.bootstrap_hierarchical(spark, df.repartition(k), "o", "i", "a", "b", "x", 400).first() for k in (2, 5))
+    assert one == two and one.n_outer == 3 and abs(one.mean - 1) < 0.1
+    assert (one.hi - one.lo) / 2 == pytest.approx(1.96 * (2 / 3 / 3) ** 0.5, rel=0.3)  # means of three draws from 0, 1, 2
+
+
+def test_bootstrap_of_any_number_of_units(spark):
     x = np.random.default_rng(3).normal(5, 2, 3000).round(1)
     df = spark.createDataFrame([(float(v), 1.0) for v in x], "t double, l double")
     got = A.bootstrap_ratio(spark, df, "t", "l", "x").first()
