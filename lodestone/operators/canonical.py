@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -26,7 +26,10 @@ KINDS = {
 REFERENCE_HEADINGS = ("references", "reference", "bibliography", "literaturecited", "workscited")
 ABSTRACT_HEADINGS = ("abstract", "summary", "keywords", "keyword", "highlights", "articleinfo", "articleinformation")
 
-ELEMENT = "doc_id string, seq long, kind string, raw_type string, level int, page int, bbox array<double>, raw_text string, caption string"
+ELEMENT = (
+    "doc_id string, seq long, kind string, raw_type string, level int, page int, bbox array<double>, raw_text string, caption string, "
+    "role string, section_path array<string>, section_id string, has_sections boolean"
+)
 _NAMES = [x.split()[0] for x in ELEMENT.split(", ")]
 
 
@@ -133,8 +136,30 @@ def page_elements(source: str) -> Iterator[tuple]:
 _LAYOUTS = {"flat": lambda s: flat_elements(json.loads(s)), "paged": lambda s: paged_elements(json.loads(s)), "html": page_elements}
 
 
+def sectioned(doc_id: str, found: list[tuple]) -> Iterator[tuple]:
+    """The elements of a document with their role, section path and section: a stack of headings; the title is no section."""
+    path: list[str] = []
+    rows, seen_title, n = [], False, 0
+    for e in found:
+        _, kind, _, level, _, _, body, _ = e
+        role = "body"
+        if kind == "heading":
+            level = 2 if level is None else level
+            if level == 1 and not seen_title and not path:
+                seen_title, role = True, "title"
+            else:
+                role, n = "section", n + 1
+                path = [*path[: max(1, level - 1) - 1], body or ""]
+        own = [] if role == "title" else list(path)
+        rows.append((doc_id, *e, role, own, f"{doc_id}:s{n:04d}" if own or role == "section" else None))
+    yield from ((*r, n > 0) for r in rows)
+
+
 def elements(df: DataFrame, layout: str) -> DataFrame:
-    """Elements of every document of (doc_id, content); a document that cannot be parsed gives one ``error`` element."""
+    """Elements of every document of (doc_id, content) with their sections, in one pass over documents.
+
+    A document that cannot be parsed gives one ``error`` element.
+    """
     parse = _LAYOUTS[layout]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,49 +167,42 @@ def elements(df: DataFrame, layout: str) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, content in b.itertuples(index=False, name=None):
                 try:
-                    rows += [(doc_id, *e) for e in parse(content or "")]
+                    rows += sectioned(doc_id, list(parse(content or "")))
                 except (ValueError, KeyError, TypeError, AttributeError) as e:
-                    rows.append((doc_id, 0, "error", type(e).__name__, None, None, None, str(e)[:200], None))
+                    rows.append((doc_id, 0, "error", type(e).__name__, None, None, None, str(e)[:200], None, "body", [], None, False))
             out = pd.DataFrame(rows, columns=_NAMES)
             yield out.astype({"level": "Int32", "page": "Int32"})
 
     return df.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, ELEMENT)
 
 
-def _sectioned(frame: pd.DataFrame) -> pd.DataFrame:
-    """Section paths of one document's elements: a stack of headings; the title is no section."""
-    path: list[str] = []
-    rows, seen_title, n = [], False, 0
-    for e in frame.sort_values("seq").itertuples(index=False):
-        if e.kind == "heading":
-            level = 2 if pd.isna(e.level) else int(e.level)
-            if level == 1 and not seen_title and not path:
-                seen_title = True
-                rows.append((e.doc_id, e.seq, "title", [], None))
-                continue
-            depth = max(1, level - 1)
-            path = [*path[: depth - 1], e.raw_text or ""]
-            n += 1
-            rows.append((e.doc_id, e.seq, "section", list(path), f"{e.doc_id}:s{n:04d}"))
-        else:
-            rows.append((e.doc_id, e.seq, "body", list(path), f"{e.doc_id}:s{n:04d}" if path else None))
-    return pd.DataFrame(rows, columns=["doc_id", "seq", "role", "section_path", "section_id"])
+def directory_elements(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """Elements of the documents below a folder, ``<layout>/<doc_id>.json`` each, with their ``parser_source``.
+
+    A document in several layouts is read from its flat file, else from its paged one; ``only`` forces a layout.  Which file
+    serves a document is decided on names alone.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    files = files.select("path", "content", F.element_at(parts, -2).alias("layout"), F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("doc_id")).filter(F.col("path").endswith(".json") & F.col("layout").isin("flat", "paged"))
+    files = files.filter(F.col("layout") == only) if only else files
+    chosen = files.groupBy("doc_id").agg(F.min("layout").alias("layout"))
+    own = files.join(chosen, ["doc_id", "layout"], "left_semi").select("doc_id", "layout", F.col("content").cast("string").alias("content"))
+    found = [elements(own.filter(F.col("layout") == k), k).withColumn("parser_source", F.lit(k)) for k in ("flat", "paged")]
+    return found[0].unionByName(found[1])
 
 
 def with_sections(items: DataFrame) -> DataFrame:
-    """Elements with their section and the paragraph verdict.
+    """Elements with the paragraph verdict.
 
     A paragraph is left out, with the reason, where it is empty, under references, an abstract or keywords, or before
     the first section of a document that has sections.
     """
-    paths = items.groupBy("doc_id").applyInPandas(_sectioned, "doc_id string, seq long, role string, section_path array<string>, section_id string")
-    j = items.join(paths, ["doc_id", "seq"]).withColumn("clean_text", T.unicode_clean(F.coalesce("raw_text", F.lit(""))))
+    j = items.withColumn("clean_text", T.unicode_clean(F.coalesce("raw_text", F.lit(""))))
     keys = F.transform("section_path", lambda h: T.compact_key(h))
-    has_sections = F.max((F.col("role") == "section").cast("int")).over(Window.partitionBy("doc_id")) == 1
-    j = j.withColumn("_has", has_sections)
     why = F.when(F.col("clean_text") == "", "empty_text").when(F.exists(keys, lambda k: k.isin(*REFERENCE_HEADINGS)), "references")
-    why = why.when(F.exists(keys, lambda k: k.isin(*ABSTRACT_HEADINGS)), "abstract_or_keywords").when(F.col("_has") & F.col("section_id").isNull(), "front_matter_unsectioned")
-    return j.withColumn("excluded_reason", F.when(F.col("kind") == "text", why).when(F.col("kind") == "excluded", F.col("raw_type")).when(F.col("kind") == "reference", "reference")).drop("_has")
+    why = why.when(F.exists(keys, lambda k: k.isin(*ABSTRACT_HEADINGS)), "abstract_or_keywords").when(F.col("has_sections") & F.col("section_id").isNull(), "front_matter_unsectioned")
+    return j.withColumn("excluded_reason", F.when(F.col("kind") == "text", why).when(F.col("kind") == "excluded", F.col("raw_type")).when(F.col("kind") == "reference", "reference")).drop("has_sections")
 
 
 def documents(items: DataFrame) -> DataFrame:
@@ -197,9 +215,10 @@ def documents(items: DataFrame) -> DataFrame:
         pick(body, "section_id", "raw_text", "clean_text", "page", "bbox").alias("paragraphs"),
         pick(obj, "kind", "caption", "raw_text", "page", "bbox").alias("objects"),
         pick(F.col("kind") == "uncertain", "raw_type", "raw_text").alias("uncertain_elements"),
-        F.first(F.when(F.col("role") == "title", F.col("clean_text")), ignorenulls=True).alias("title"),
+        F.min(F.when(F.col("role") == "title", F.struct("seq", "clean_text"))).alias("title"),
         F.count_if(F.col("kind") == "error").alias("n_errors"),
+        F.collect_list("excluded_reason").alias("reasons"),
     )
-    left_out = items.filter("excluded_reason is not null").groupBy("doc_id", "excluded_reason").agg(F.count("*").alias("n"))
-    counts = left_out.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("excluded_reason", "n")))).alias("excluded_counts"))
-    return nested.join(counts, "doc_id", "left")
+    counts = F.transform(F.array_sort(F.array_distinct("reasons")), lambda k: F.struct(k.alias("key"), F.size(F.filter("reasons", lambda x: x == k)).cast("long").alias("value")))
+    counts = F.when(F.size("reasons") > 0, F.map_from_entries(counts)).alias("excluded_counts")
+    return nested.select("doc_id", "sections", "paragraphs", "objects", "uncertain_elements", F.col("title.clean_text").alias("title"), "n_errors", counts)

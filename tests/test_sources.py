@@ -114,6 +114,34 @@ def test_layouts(spark):
     assert {r.clean_text for r in p.collect()} == {"Results", "Two parts"}
 
 
+def test_directory_of_documents_prefers_the_flat_layout(spark, tmp_path):
+    ship(spark)
+    flat = json.dumps([{"type": "text", "text": "From flat"}])
+    paged = json.dumps([[{"type": "paragraph", "content": {"paragraph_content": [{"content": "From paged"}]}}]])
+    for name, raw in {"flat/a.json": flat, "paged/a.json": paged, "paged/b.json": paged, "flat/c.json": "{", "flat/note.txt": "x", "other/d.json": flat}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(raw)
+    rows = lambda only: {(r.doc_id, r.parser_source): (r.kind, r.raw_text) for r in P.directory_elements(spark, str(tmp_path), only).collect()}
+    got = rows(None)
+    assert set(got) == {("a", "flat"), ("b", "paged"), ("c", "flat")} and got["a", "flat"] == ("text", "From flat") and got["c", "flat"][0] == "error"
+    assert set(rows("paged")) == {("a", "paged"), ("b", "paged")}
+
+
+def test_text_sources_and_report_sinks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x, y"\n2,é\n', encoding="utf-8")
+    assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "a.csv"), "k long, v string").orderBy("k").collect()] == [(1, "x, y"), (2, "é")]
+    (tmp_path / "a.jsonl").write_text('{"k": 1, "v": "x"}\n{"k": 2\n')
+    rows = io.read_jsonl(spark, str(tmp_path / "a.jsonl"), "k long, v string").cache().collect()
+    assert [(r.k, r.v) for r in rows if r._corrupt is None] == [(1, "x")] and sum(r._corrupt is not None for r in rows) == 1
+    (tmp_path / "a.json").write_text('{\n "k": 3,\n "v": "z"\n}')
+    row = io.read_json(spark, str(tmp_path / "a.json"), "k long, v string").first()
+    assert (row.k, row.v) == (3, "z") and row.path.endswith("a.json")
+    df = spark.createDataFrame([(1, "x", "extra")], "k long, v string, more string")
+    io.write_csv(df, str(tmp_path / "out"), ["v", "k"])
+    assert [f.read_text() for f in (tmp_path / "out").glob("*.csv")] == ["v,k\nx,1\n"]
+    assert io.markdown(df.select("k", "v"), "T") == "# T\n\n| k | v |\n|---|---|\n| 1 | x |\n"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(1, "a  b\n\nc"), (2, None)], "doc_id long, text string")
     df.write.parquet(str(tmp_path / "in"))
