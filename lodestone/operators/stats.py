@@ -102,9 +102,12 @@ def fleiss(df: DataFrame, item: str, label: str) -> DataFrame:
 
 
 def mean_difference(df: DataFrame, group: Column, value: str) -> DataFrame:
-    """Means, variances and the standardized mean difference of two groups, pooled as half the sum of variances."""
+    """Means, medians, variances, the standardized mean difference of two groups (pooled as half the sum of variances), and
+    the absolute difference of their shares of values above zero."""
     side = lambda g, f: f(F.when(group == g, F.col(value)))
-    a = df.agg(F.count_if(group).alias("n1"), F.count_if(~group).alias("n0"), side(True, F.avg).alias("mean1"), side(False, F.avg).alias("mean0"), side(True, F.var_samp).alias("v1"), side(False, F.var_samp).alias("v0"))
+    share = lambda g: F.avg(F.when(group == g, (F.col(value) > 0).cast("double")))
+    a = df.agg(F.count_if(group).alias("n1"), F.count_if(~group).alias("n0"), side(True, F.avg).alias("mean1"), side(False, F.avg).alias("mean0"), side(True, F.var_samp).alias("v1"), side(False, F.var_samp).alias("v0"), side(True, F.median).alias("median1"), side(False, F.median).alias("median0"), share(True).alias("p1"), share(False).alias("p0"))
+    a = a.withColumn("share_difference", F.abs(F.col("p1") - F.col("p0")))
     return a.withColumn("smd", F.try_divide(F.col("mean1") - F.col("mean0"), F.nullif(F.sqrt((F.col("v1") + F.col("v0")) / 2), F.lit(0.0))))
 
 

@@ -161,11 +161,12 @@ def eligibility_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("density_smd_comparison", f"""WITH {_TRUTH} SELECT count(*) FILTER (truth) AS n1, count(*) FILTER (NOT truth) AS n0, {R6.format('avg(n_chars) FILTER (truth)')} AS mean1, {R6.format('avg(n_chars) FILTER (NOT truth)')} AS mean0,
-  {R6.format('(avg(n_chars) FILTER (truth) - avg(n_chars) FILTER (NOT truth)) / sqrt((var_samp(n_chars) FILTER (truth) + var_samp(n_chars) FILTER (NOT truth)) / 2)')} AS smd FROM l""")
+  {R6.format('(avg(n_chars) FILTER (truth) - avg(n_chars) FILTER (NOT truth)) / sqrt((var_samp(n_chars) FILTER (truth) + var_samp(n_chars) FILTER (NOT truth)) / 2)')} AS smd, {R6.format('median(n_chars) FILTER (truth)')} AS median1, {R6.format('median(n_chars) FILTER (NOT truth)')} AS median0,
+  {R6.format('abs(avg((n_chars > 0)::INT) FILTER (truth) - avg((n_chars > 0)::INT) FILTER (NOT truth))')} AS share_difference FROM l""")
 def density_smd_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardized difference of lengths between quality groups."""
     m = A.mean_difference(_labelled(spark, sf_dir), F.col("quality") == 1, "n_chars")
-    return m.select("n1", "n0", *[T.round6(F.col(c)).alias(c) for c in ("mean1", "mean0", "smd")])
+    return m.select("n1", "n0", *[T.round6(F.col(c)).alias(c) for c in ("mean1", "mean0", "smd", "median1", "median0", "share_difference")])
 
 
 _JUDGE = "j AS (SELECT doc_id, k AS judge, CASE WHEN (doc_id + k * quality) % 4 < 2 THEN 'Accept' WHEN (doc_id + k) % 3 = 0 THEN 'Reject' ELSE 'Borderline' END AS label FROM labels, (SELECT unnest([0, 1, 2]) AS k))"

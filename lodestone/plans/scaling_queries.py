@@ -100,11 +100,11 @@ def nstar_delta_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.smallest_equivalent(u, [0.01, 0.02, 0.05], "task", "scale", "ucb")
 
 
-@query("plateau", f"WITH u(task, scale, ucb) AS ({_U}), g AS (SELECT *, ucb - lag(ucb) OVER (PARTITION BY task ORDER BY scale) AS gain FROM u) SELECT task, scale, {R6.format('gain')} AS gain, coalesce(abs(gain) <= 0.02, false) AS plateau FROM g")
+@query("plateau", f"WITH u(task, scale, ucb) AS ({_U}), g AS (SELECT *, ucb - lag(ucb) OVER (PARTITION BY task ORDER BY scale) AS gain FROM u) SELECT task, scale, {R6.format('gain')} AS gain, coalesce(abs(gain) <= 0.02, false) AS plateau, CASE WHEN gain IS NULL THEN 'first_scale' WHEN abs(gain) <= 0.02 THEN 'plateau' WHEN gain < 0 THEN 'still_improving' ELSE 'worse' END AS judgment FROM g")
 def plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change from scale to scale."""
     u = spark.sql(f"SELECT task, scale, cast(ucb AS double) AS ucb FROM ({_U}) AS t(task, scale, ucb)")
-    return M.plateau(u, "task", "scale", "ucb", 0.02).select("task", "scale", T.round6(F.col("gain")).alias("gain"), "plateau")
+    return M.plateau(u, "task", "scale", "ucb", 0.02).select("task", "scale", T.round6(F.col("gain")).alias("gain"), "plateau", M.plateau_judgment(F.col("gain"), 0.02).alias("judgment"))
 
 
 @query("group_argmax_pivot", f"""WITH g AS (SELECT o_custkey % 50 AS bucket, o_orderstatus AS s, sum(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT bucket, {R6.format("max(v) FILTER (s = 'F')")} AS f, {R6.format("max(v) FILTER (s = 'O')")} AS o, {R6.format("max(v) FILTER (s = 'P')")} AS p, arg_max(s, (n, s)) AS top_status FROM g GROUP BY bucket""")
@@ -181,10 +181,16 @@ def feature_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("feature", T.round6(F.col("vif")).alias("vif"))
 
 
-@query("feature_availability", """SELECT 'p_size' AS feature, count(*) - count(p_size) AS n_missing, count(DISTINCT p_size) AS n_distinct FROM part UNION ALL SELECT 'p_retailprice', count(*) - count(p_retailprice), count(DISTINCT p_retailprice) FROM part UNION ALL SELECT 'p_brand', count(*) - count(p_brand), count(DISTINCT p_brand) FROM part""")
+#: Feature to its role in the models.
+FEATURES = {"p_size": "exposure", "p_retailprice": "predictor", "p_brand": "group"}
+_FEATURE = "SELECT '{0}' AS feature, '{1}' AS role, (SELECT CASE WHEN typeof(max({0})) IN ('INTEGER', 'BIGINT') THEN 'integer' WHEN typeof(max({0})) = 'DOUBLE' THEN 'real' ELSE 'text' END FROM part) AS kind, count(*) - count({0}) AS n_missing, {2} AS missing_pct, count(DISTINCT {0}) AS n_distinct FROM part"
+
+
+@query("feature_availability", " UNION ALL ".join(_FEATURE.format(c, r, R6.format(f"100.0 * (count(*) - count({c})) / count(*)")) for c, r in FEATURES.items()))
 def feature_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing and distinct values per feature, in one pass."""
-    cols = ["p_size", "p_retailprice", "p_brand"]
-    one = table(spark, sf_dir, "part").agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)], *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("n_missing"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(cols)])).alias("r")
-    return one.select(rows).select("r.*")
+    """Role, kind, missing and distinct values of each feature, in one pass."""
+    t = table(spark, sf_dir, "part")
+    kinds = {c: "integer" if k in ("int", "bigint") else "real" if k == "double" else "text" for c, k in t.dtypes}
+    one = t.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in FEATURES], *[F.countDistinct(c).alias(f"d_{c}") for c in FEATURES])
+    row = lambda c, r: F.struct(F.lit(c).alias("feature"), F.lit(r).alias("role"), F.lit(kinds[c]).alias("kind"), F.col(f"m_{c}").alias("n_missing"), T.round6(100.0 * F.col(f"m_{c}") / F.col("n")).alias("missing_pct"), F.col(f"d_{c}").alias("n_distinct"))
+    return one.select(F.explode(F.array(*[row(c, r) for c, r in FEATURES.items()])).alias("r")).select("r.*")

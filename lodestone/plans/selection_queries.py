@@ -31,13 +31,16 @@ def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("source_task_yields", f"""WITH {YIELDS}, u AS (SELECT source, task, n, cost FROM yields UNION ALL SELECT source, 'AN_TOTAL', sum(n), sum(cost) FROM yields WHERE task IN ('A', 'N') GROUP BY source)
-  SELECT task, count(*) AS n_sources, sum(n)::BIGINT AS total, count(*) FILTER (n = 0) AS n_zero, {R6.format('avg(n)')} AS mean, {R6.format('var_samp(n) / avg(n)')} AS dispersion FROM u GROUP BY task""")
+  SELECT task, count(*) AS n_sources, sum(n)::BIGINT AS total, count(*) FILTER (n = 0) AS n_zero, {R6.format('avg(n)')} AS mean, {R6.format('var_samp(n) / avg(n)')} AS dispersion, {R6.format('count(*) FILTER (n = 0) / count(*)')} AS zero_share,
+  CASE WHEN count(*) FILTER (n > 0) > 0.9 * count(*) THEN 'saturated' WHEN count(*) FILTER (n > 0) < 0.1 * count(*) THEN 'sparse' ELSE 'usable' END AS saturation FROM u GROUP BY task""")
 def source_task_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yield summary with a hierarchical total and dispersion diagnostics."""
     y = yields(spark, sf_dir).select("source", "task", "n")
     total = y.filter(F.col("task").isin("A", "N")).groupBy("source").agg(F.sum("n").alias("n")).select("source", F.lit("AN_TOTAL").alias("task"), "n")
     g = y.unionByName(total).groupBy("task").agg(F.count("*").alias("n_sources"), F.sum("n").alias("total"), F.count_if(F.col("n") == 0).alias("n_zero"), F.avg("n").alias("m"), F.var_samp("n").alias("v"))
-    return g.select("task", "n_sources", "total", "n_zero", T.round6(F.col("m")).alias("mean"), T.round6(F.try_divide("v", F.nullif(F.col("m"), F.lit(0.0)))).alias("dispersion"))
+    hit = F.col("n_sources") - F.col("n_zero")
+    saturation = F.when(hit > 0.9 * F.col("n_sources"), "saturated").when(hit < 0.1 * F.col("n_sources"), "sparse").otherwise("usable")
+    return g.select("task", "n_sources", "total", "n_zero", T.round6(F.col("m")).alias("mean"), T.round6(F.try_divide("v", F.nullif(F.col("m"), F.lit(0.0)))).alias("dispersion"), T.round6(F.col("n_zero") / F.col("n_sources")).alias("zero_share"), saturation.alias("saturation"))
 
 
 @query("feature_zscore_winsor", f"""WITH s AS (SELECT p_partkey AS source, ln(1 + p_retailprice) AS x FROM part), q AS (SELECT avg(x) m, stddev_samp(x) sd, quantile_cont(x, 0.01) lo, quantile_cont(x, 0.99) hi FROM s)
