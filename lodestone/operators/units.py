@@ -110,6 +110,22 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float = 0.9, min
     return best.select("l_id", "b.r_id", "b.jaccard")
 
 
+def passages(docs: DataFrame, items: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, evidence_id, e0, e1): where documents (doc_id, text) first hold the passages (item_id, passage) of at least ``words + 1`` words.
+
+    The words after the first of a passage are looked up among the word runs of each document, of which only those that some
+    passage has are kept; pairs found so are verified on the text.
+    """
+    split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    w = split(F.col("passage"))
+    wanted = items.filter(F.size(w) > words).select("item_id", "passage", F.xxhash64(F.array_join(F.slice(w, 2, words), " ")).alias("h"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    each = docs.select("doc_id", split(F.col("text")).alias("w")).filter(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(runs)).alias("h"))
+    pairs = each.join(wanted.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+    held = docs.join(pairs, "doc_id").join(wanted.select("item_id", "passage"), "item_id").withColumn("e0", F.instr("text", F.col("passage")) - 1).filter("e0 >= 0")
+    return held.select("doc_id", F.col("item_id").alias("evidence_id"), "e0", (F.col("e0") + F.char_length("passage")).alias("e1"))
+
+
 def evidence_class(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each evidence span [e0, e1) of a document as ``fully`` in one chunk, over ``multi`` chunks, or ``unmapped``."""
     j = evidence.join(chunks, "doc_id", "left")

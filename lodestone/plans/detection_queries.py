@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import patterns as P
 from lodestone.functions import text as T
 from lodestone.operators import corpus as C
 from lodestone.operators import detect as D
@@ -42,7 +43,12 @@ def candidates_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = ("doc_id", "position", "pattern", "start", "end", "answer", "reject", "accepted", "ready")
 
 
-@query("sentences")
+_ABBREVIATIONS = "|".join(a.replace(".", r"\.") for a in P.ABBREVIATIONS)
+
+
+@query("sentences", rf"""WITH {PARAS}, m AS (SELECT doc_id, position, string_split(regexp_replace(regexp_replace(clean_text, '([.!?])(\s+)([A-Z0-9(])', '\1\2' || chr(1) || '\3', 'g'), '(?i)((?:{_ABBREVIATIONS})\s+)\x01', '\1', 'g'), chr(1)) AS p FROM paras),
+  u AS (SELECT doc_id, position, unnest(p) AS x, unnest(range(len(p))) AS k, p FROM m), o AS (SELECT doc_id, position, x, coalesce(list_sum(list_transform(p[1:k], lambda y: length(y))), 0)::BIGINT AS lo FROM u)
+  SELECT doc_id, position, lo AS start, lo + length(trim(x)) AS "end", sha256(trim(x)) AS sentence_sha FROM o WHERE trim(x) <> ''""")
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every paragraph with their offsets."""
     return D.sentence_table(C.paragraphs(table(spark, sf_dir, "documents"))).select("doc_id", "position", "start", "end", F.sha2("sentence", 256).alias("sentence_sha"))

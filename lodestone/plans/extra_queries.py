@@ -13,6 +13,7 @@ from lodestone.operators import selection as S
 from lodestone.plans.detection_queries import candidates_input
 from lodestone.plans.registry import Registry, table
 from lodestone.plans.selection_queries import YIELDS, yields
+from lodestone.shipping import ship
 
 query = Registry()
 R6 = "floor(({0})::DOUBLE * 1e6 + 0.5) / 1e6"
@@ -26,7 +27,10 @@ def table_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("bucket", F.sha2(X.table_text(rows), 256).alias("text_sha"))
 
 
-@query("bio_projection")
+@query("bio_projection", r"""WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), u AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, ws FROM w), e AS (SELECT item_id, i, w, length(array_to_string(ws[1:i + 1], ' ')) AS b FROM u),
+  t AS (SELECT item_id, i, w, b - length(w) AS a, b, lag(b - length(w)) OVER (PARTITION BY item_id ORDER BY i) AS pa, lag(b) OVER (PARTITION BY item_id ORDER BY i) AS pb FROM e), s AS (SELECT item_id, greatest(0, a - 12) AS lo, b AS hi FROM t WHERE regexp_matches(w, '[.!?]$')),
+  h AS (SELECT t.item_id, t.i, bool_or(s.lo IS NOT NULL) AS hit, bool_or(s.lo < t.pb AND t.pa < s.hi) AS same FROM t LEFT JOIN s ON s.item_id = t.item_id AND s.lo < t.b AND t.a < s.hi GROUP BY ALL)
+  SELECT CASE WHEN NOT hit THEN 'O' WHEN coalesce(same, false) THEN 'I-END' ELSE 'B-END' END AS label, count(*) AS n FROM h GROUP BY 1""")
 def bio_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BIO labels of benchmark words for every span of letters followed by a stop, counted."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
@@ -45,6 +49,17 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("id").agg(F.count("*").alias("n_chunks"), F.max(F.char_length("chunk")).alias("longest"), F.min(F.char_length("chunk")).alias("shortest")).withColumnRenamed("id", "doc_id")
 
 
+CHUNKED = [("aaaa bbbb. cccc dddd. eeee", ["aaaa bbbb. ", "cccc dddd. ", "eeee"]), ("one two three four five", ["one two ", "three four ", "five"]), ("x" * 25, ["x" * 12, "x" * 12, "x"]), ("a b\n\nc d e f g h", ["a b\n\n", "c d e f g h"]), ("", [])]
+
+
+@query("chunk_cases", " UNION ALL ".join(f"SELECT {i} AS id, {n} AS nth, '{c}' AS chunk" for i, (_, out) in enumerate(CHUNKED) for n, c in enumerate(out)))
+def chunk_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive chunks of hand-made texts under small limits."""
+    ship(spark)
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CHUNKED)], "doc_id int, text string")
+    return X.chunked(d, "doc_id", "text", target=11, least=3, most=12)
+
+
 @query("leave_top_out", f"WITH {YIELDS}, r AS (SELECT task, n, row_number() OVER (PARTITION BY task ORDER BY n DESC, source) AS k, count(*) OVER (PARTITION BY task) AS m FROM yields) SELECT task, count(*) AS n_sources, {R6.format('avg(n)')} AS mean FROM r WHERE k > ceil(0.01 * m) GROUP BY task")
 def leave_top_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean yields without the top hundredth of sources."""

@@ -82,15 +82,16 @@ def leakage_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.similar_texts(b, p, 0.8).select(F.col("l_id").alias("item_id"), T.round6(F.col("jaccard")).alias("jaccard"))
 
 
-@query("evidence_chunk_mapping", """WITH c AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE length(text) > 0), k AS (SELECT doc_id, unnest(range(0, n, 1000)) AS c0, n FROM c), e AS (SELECT doc_id, unnest(range(300, n, 700)) AS e0 FROM c),
-  j AS (SELECT e.doc_id, e0, count(*) FILTER (c0 <= e0 AND e0 + 200 <= least(c0 + 1000, n)) AS i, count(*) FILTER (c0 < e0 + 200 AND e0 < least(c0 + 1000, n)) AS m FROM e JOIN k USING (doc_id) GROUP BY e.doc_id, e0)
-  SELECT CASE WHEN i > 0 THEN 'fully' WHEN m > 0 THEN 'multi' ELSE 'unmapped' END AS class, count(*) AS n FROM j GROUP BY 1""")
+@query("evidence_chunk_mapping", r"""WITH e AS (SELECT d.doc_id, item_id, strpos(d.text, b.text) - 1 AS e0, strpos(d.text, b.text) - 1 + length(b.text) AS e1, length(d.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split_regex(trim(b.text), '\s+')) >= 5),
+  k AS (SELECT *, unnest(range(0, n, 600)) AS c0 FROM e), j AS (SELECT doc_id, item_id, count(*) FILTER (c0 <= e0 AND e1 <= least(c0 + 600, n)) AS w, count(*) FILTER (c0 < e1 AND e0 < least(c0 + 600, n)) AS m FROM k GROUP BY ALL)
+  SELECT CASE WHEN w > 0 THEN 'fully' WHEN m > 0 THEN 'multi' ELSE 'unmapped' END AS class, count(*) AS n, count(DISTINCT item_id) AS n_items FROM j GROUP BY 1""")
 def evidence_chunk_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence spans against chunks of 1,000 characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n")).filter("n > 0")
-    chunks = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1000))).alias("c0")).select("doc_id", "c0", F.least(F.col("c0") + 1000, F.col("n")).alias("c1"))
-    ev = d.filter("n > 300").select("doc_id", F.explode(F.sequence(F.lit(300), F.col("n") - 1, F.lit(700))).alias("e0")).select("doc_id", F.col("e0").alias("evidence_id"), "e0", (F.col("e0") + 200).alias("e1"))
-    return U.evidence_class(ev, chunks).groupBy("class").agg(F.count("*").alias("n"))
+    """Benchmark passages of at least five words where documents hold them, against chunks of 600 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = U.passages(docs, table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+    size = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.char_length("text").alias("n"))
+    chunks = size.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(600))).alias("c0")).select("doc_id", "c0", F.least(F.col("c0") + 600, F.col("n")).alias("c1"))
+    return U.evidence_class(found, chunks).groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("evidence_id").alias("n_items"))
 
 
 RANKING = f"""q AS (SELECT vec_id AS query_id, label AS scope, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
