@@ -101,6 +101,14 @@ def conditions(sentence: str, base: int) -> dict[str, dict]:
     return {k: {"text": m[0], "start": base + m.start(), "end": base + m.end()} for k, m in found.items() if m}
 
 
+def _inner(sentence: str, lo: int, hi: int, base: int) -> tuple[str, int, int]:
+    """A stretch of a sentence without blanks and marks around it, and its place in the paragraph."""
+    part = sentence[lo:hi]
+    lo += len(part) - len(part.lstrip(" ,;:-"))
+    inner = part.strip(" ,;:-")
+    return inner, base + lo, base + lo + len(inner)
+
+
 def _claims(text: str) -> Iterator[tuple]:
     for a, b in sentences(text):
         sentence = text[a:b]
@@ -109,14 +117,15 @@ def _claims(text: str) -> Iterator[tuple]:
         cue = m[1].casefold()
         up, down = ("increase", "higher", "improv", "promot"), ("decrease", "lower", "reduc", "inhibit")
         polarity = "positive" if any(x in cue for x in up) else "negative" if any(x in cue for x in down) else "neutral_or_unspecified"
-        yield "relation_cue", 0, a, b, sentence, a, sentence, m[1], sentence[: m.start()].strip(" ,;:-"), sentence[m.end() :].strip(" ,;:-"), polarity, conditions(sentence, a)
+        sides = (_inner(sentence, 0, m.start(), a), _inner(sentence, m.end(), len(sentence), a))
+        yield "relation_cue", 0, a, b, sentence, a, sentence, m[1], *(t for t, _, _ in sides), polarity, conditions(sentence, a), *(x for _, lo, hi in sides for x in (lo, hi))
 
 
 _SPAN = "struct<text:string,start:int,end:int>"
 _EMITTERS = {
     "T1": (_terms, "term string, definition string, cue string, fits boolean, cut boolean"),
     "T2": (_numbers, "subtype string, unit string, before string, around string"),
-    "T3": (_claims, f"relation string, subject string, outcome string, polarity string, conditions map<string,{_SPAN}>"),
+    "T3": (_claims, f"relation string, subject string, outcome string, polarity string, conditions map<string,{_SPAN}>, subject_start int, subject_end int, outcome_start int, outcome_end int"),
 }
 
 
@@ -214,6 +223,14 @@ def detect_claims(paras: DataFrame) -> DataFrame:
     return out.withColumn("ready", F.col("accepted") & (F.char_length("answer") <= 350))
 
 
+def with_supports(claims: DataFrame, paras: DataFrame) -> DataFrame:
+    """``supports`` of claims: the paragraphs before and after theirs in the same section of the document (up to two)."""
+    around = Window.partitionBy("doc_id", "section").orderBy("position")
+    near = F.array_compact(F.array(F.lag("text").over(around), F.lead("text").over(around)))
+    rows = paras.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("position").cast("long").alias("position"), "section", "text").withColumn("supports", near)
+    return claims.join(rows.select("doc_id", "position", "supports"), ["doc_id", "position"], "left")
+
+
 def sentence_table(paras: DataFrame) -> DataFrame:
     """(doc_id, position, start, end, sentence) of every sentence."""
 

@@ -262,3 +262,36 @@ def bootstrap_hierarchical(spark: SparkSession, rows: DataFrame, outer: str, ite
     draws = slots.select("r", "slot", F.try_divide(total("t"), F.nullif(total("w"), F.lit(0.0))).alias("v"))
     draws = draws.groupBy("r").agg(F.sort_array(F.collect_list("v")).alias("v")).select((F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("v"))
     return draws.agg(F.avg("v").alias("mean"), F.expr("percentile(v, array(0.025, 0.975, 0.95))").alias("q")).select(F.lit(n).cast("long").alias("n_outer"), "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("ucb"))
+
+
+def bootstrap_views(df: DataFrame, unit: str, views: list[str], label: str, replicates: int = 2000, block: int = 1024) -> DataFrame:
+    """(view_a, view_b, estimate, lo, hi, p): means of views of the same units, and differences of every two, under shared draws.
+
+    A unit has one Poisson weight in a replicate for all views, so differences are paired.  ``view_b`` is NULL for means.
+    """
+    own = df.select(F.xxhash64(unit).alias("unit"), *[F.col(v).cast("double").alias(v) for v in views])
+    keys = draw_keys(label, np.arange(replicates))
+    names = [f"s{i}" for i in range(len(views))]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["unit", *views])
+        units, v = g["unit"].to_numpy().view(np.uint64), g[views].to_numpy(float)
+        w_sum, total = np.zeros(replicates + 1), np.zeros((replicates + 1, len(views)))
+        for lo in range(0, len(v), block):
+            w = poisson_weights(units[lo : lo + block], keys)
+            part = v[lo : lo + block]
+            w_sum += np.append(w.sum(0), len(part))
+            total += np.concatenate((w.T @ part, part.sum(0, keepdims=True)))
+        return pd.DataFrame({"r": np.arange(replicates + 1), "b": int(key[0]), "w": w_sum} | dict(zip(names, total.T)))
+
+    fields = "r long, b long, w double, " + ", ".join(f"{n} double" for n in names)
+    parts = own.groupBy(F.pmod("unit", F.lit(BUCKETS)).alias("bucket")).applyInPandas(run, fields).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("b", "w", *names))).alias("x"))
+    total = lambda c: F.aggregate("x", F.lit(0.0), lambda s, x: s + x[c])
+    means = parts.select("r", *[F.try_divide(total(n), F.nullif(total("w"), F.lit(0.0))).alias(v) for n, v in zip(names, views)])
+    rows = [F.struct(F.lit(a).alias("view_a"), F.lit(None).cast("string").alias("view_b"), F.col(a).alias("v")) for a in views]
+    rows += [F.struct(F.lit(a).alias("view_a"), F.lit(b).alias("view_b"), (F.col(a) - F.col(b)).alias("v")) for i, a in enumerate(views) for b in views[i + 1 :]]
+    each = means.select("r", F.explode(F.array(*rows)).alias("x")).select("r", "x.*")
+    draw = F.when(F.col("r") < replicates, F.col("v"))
+    p = F.least(F.lit(1.0), 2 * F.least((F.count_if(draw <= 0) + 1) / (F.count(draw) + 1), (F.count_if(draw >= 0) + 1) / (F.count(draw) + 1)))
+    q = F.percentile(draw, F.array(F.lit(0.025), F.lit(0.975)))
+    return each.groupBy("view_a", "view_b").agg(F.max(F.when(F.col("r") == replicates, F.col("v"))).alias("estimate"), q.alias("q"), p.alias("p")).select("view_a", "view_b", "estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p")

@@ -71,6 +71,12 @@ def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yields(spark, sf_dir).withColumn("score", S.percentile_score("n", ["task"]))
 
 
+@query("top_examples", f"WITH {YIELDS}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC, source) AS rank FROM yields) SELECT task, rank, source, n FROM r WHERE rank <= 100")
+def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best sources of each task, for illustration."""
+    return S.top_k(yields(spark, sf_dir), ["task"], [F.desc("n"), F.asc("source")], 100).select("task", "rank", "source", "n")
+
+
 @query("select_paper_budget", f"""WITH {YIELDS}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC, source) AS k, count(*) OVER (PARTITION BY task) AS m, sum(n) OVER (PARTITION BY task) AS total FROM yields)
   SELECT task, count(*) AS n_selected, sum(n)::BIGINT AS captured, {R6.format('sum(n) / max(total)')} AS capture, {R6.format('sum(n) / max(total) / 0.2')} AS lift FROM r WHERE k <= ceil(0.2 * m) GROUP BY task""")
 def select_paper_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,32 @@ def claim_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.claim_integrity(_claims(spark))
 
 
+SIDES = [("c1", "Soil moisture", 0, 13, "strongly under drought treatment in the northern basin.", 24, 79, "Intro words here.|After words."), ("c2", "Yields did not", 0, 14, "significantly after irrigation compared with dry plots.", 24, 79, "")]
+
+
+@query("claim_sides", f"SELECT * FROM ({_values(SIDES)}) AS t(doc_id, subject, subject_start, subject_end, outcome, outcome_start, outcome_end, supports)")
+def claim_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject and outcome of hand-derived claims with their places, and the paragraphs around them in their section."""
+    ship(spark)
+    rows = [("c1", 0, "Results", "Intro words here."), ("c1", 1, "Results", CLAIMS[0][3]), ("c1", 2, "Methods", "Elsewhere."), ("c1", 3, "Results", "After words."), ("c2", 0, "Results", CLAIMS[1][3])]
+    paras = spark.createDataFrame([(d, p, s, True, t) for d, p, s, t in rows], "doc_id string, position long, section string, provenance_ok boolean, text string")
+    c = D.with_supports(D.detect_claims(paras), paras)
+    return c.select("doc_id", "subject", "subject_start", "subject_end", "outcome", "outcome_start", "outcome_end", F.array_join("supports", "|").alias("supports"))
+
+
+PRESERVED = [
+    (1, "12 mg/L", "about 12  mg/L", True, True, True, True), (2, "p < 0.05", "p > 0.05", True, False, True, True), (3, "did not rise", "rose", True, True, False, True),
+    (4, "may rise by 5 %", "rises by 5 percent", True, True, True, False), (5, "3 kg", "3 g", False, True, True, True),
+]
+
+
+@query("preservation_flags", f"SELECT id, unit, operator, negation, uncertainty FROM ({_values([(r[0], *r[3:]) for r in PRESERVED])}) AS t(id, unit, operator, negation, uncertainty)")
+def preservation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether hand-made replies keep unit, comparison, negation and uncertainty of what they answer."""
+    rows = spark.createDataFrame([r[:3] for r in PRESERVED], "id int, gold string, found string")
+    return rows.select("id", *[c.alias(k) for k, c in M.preservation_flags(F.col("gold"), F.col("found")).items()])
+
+
 #: The first failing rule of each candidate in the paragraphs of the detectors' fixture, derived by hand.
 DETECTED = [
     ("T1", "T1a", "f1", 0, None), ("T1", "T1a", "f1", 1, "duplicate_term_definition_within_paper"), ("T1", "T1a", "f2", 0, "acronym_long_form_alignment_failed"),

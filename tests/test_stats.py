@@ -165,6 +165,17 @@ def test_bootstrap_selection_against_brute_force(spark):
     assert got.mean == pytest.approx(np.mean(draws)) and [got.lo, got.hi] == pytest.approx(np.percentile(draws, [2.5, 97.5]).tolist())
 
 
+def test_bootstrap_of_views_shares_draws(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(3, 1, 900)
+    y = x - 0.1 + rng.normal(0, 0.1, 900)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "u long, a double, b double")
+    got = {(r.view_a, r.view_b): r for r in A.bootstrap_views(df.repartition(3), "u", ["a", "b"], "x", 800).collect()}
+    assert got["a", None].estimate == pytest.approx(x.mean()) and got["a", "b"].estimate == pytest.approx((x - y).mean())
+    assert (got["a", None].hi - got["a", None].lo) / 2 == pytest.approx(1.96 * x.std() / 30, rel=0.15)
+    assert (got["a", "b"].hi - got["a", "b"].lo) / 2 == pytest.approx(1.96 * (x - y).std() / 30, rel=0.15) and got["a", "b"].p < 0.01
+
+
 def test_bootstrap_hierarchical(spark):
     rng = np.random.default_rng(7)
     rows = [(o, i, float(v), 0.0) for o in range(3) for i, v in enumerate(rng.normal(o, 1, 400))]
