@@ -12,13 +12,17 @@ spanning forest, never its pairs; components then come from large-star/small-sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lodestone.llm import words as W
 from lodestone.llm.common import drop_staged, in_bytes, lean, stage, utf8
@@ -290,7 +294,7 @@ NEAR_SHINGLE, NEAR_BITS, BANDS, ROWS, TILE = 5, 256, 16, 3, 256
 #: Sketches of a group, and texts of a component, that one task compares without leaders.
 NEAR_GROUP = 256
 #: Leaders of a large group in each round.
-LEADERS = (1, 4)
+LEADERS = (1, 4, 8)
 _WIDTH = NEAR_BITS // 8
 _BIT_SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(NEAR_BITS // 64)]
 _MIN_ODDS = [np.uint64((0xD1B54A32D192ED03 * (2 * i + 1) ^ i << 40) % 2**64 | 1) for i in range(BANDS * ROWS)]
@@ -465,8 +469,8 @@ def _near_sets(similarity: float):
 
 
 def _follow(by: list[str], pay: list[str], first: int, near):
-    """Rows (by .., fp, pay .., k, leads, lead) to the same but ``lead``: ``k`` is the first leader a row is near to, numbered
-    from ``first``, and ``leads`` gains every leader it is near to."""
+    """Rows (by .., fp, pay .., k, leads, lead) to the same but ``lead``: ``k`` gains a bit and ``leads`` a name for every leader
+    a row is near to; leaders are numbered from ``first``."""
     prepare, test = near
     names = [*by, "fp", *pay, "k", "leads"]
 
@@ -487,54 +491,67 @@ def _follow(by: list[str], pay: list[str], first: int, near):
                     close = test(ready, {c: t[c][lo:hi] for c in ("fp", *pay)})
                     for i in np.flatnonzero(close.any(1)).tolist():
                         own = np.flatnonzero(close[i]).tolist()
-                        if t["k"][lo + i] is None:
-                            t["k"][lo + i] = first + own[0]
+                        t["k"][lo + i] |= sum(1 << first + j for j in own)
                         t["leads"][lo + i] = t["leads"][lo + i] + [leaders[j]["fp"] for j in own if leaders[j]["fp"] != t["fp"][lo + i]]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*by, "fp", *pay)), pa.array(t["k"], pa.int32()), pa.array(t["leads"], pa.list_(pa.binary()))], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*by, "fp", *pay)), pa.array(t["k"], pa.int64()), pa.array(t["leads"], pa.list_(pa.binary()))], names=names)
 
     return run
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _joined(masks: pd.Series) -> pd.Series:
+    """Each mask of a row's list with the bits of all masks that it reaches through common bits."""
+
+    def closed(own: np.ndarray) -> list[int]:
+        groups: list[int] = []
+        for m in map(int, own):
+            apart = [g for g in groups if not g & m]
+            groups = [*apart, reduce(or_, (g for g in groups if g & m), m)]
+        return [next((g for g in groups if g & m), 0) for m in map(int, own)]
+
+    return masks.map(closed)
+
+
 def led(spark: SparkSession, rows: DataFrame, by: list[str], pay: list[str], near, name: str) -> tuple[DataFrame, DataFrame]:
     """(edges, pairs): how the rows (by .., fp, pay ..) of large groups are compared without all pairs of a group.
 
     In ``LEADERS`` rounds some rows of each group that follow no leader yet lead it: every row is compared with them.
-    ``edges`` (a, b) join rows to leaders they are near to, so rows of one leader need no comparison among themselves.
-    ``pairs`` holds the other rows, those without a leader above all, once for each pair (lo, hi) of tiles of about
-    ``TILE`` rows that may still hold a link: nothing where a group has one leader, and no link is lost.
+    ``edges`` (a, b) join rows to leaders they are near to, so rows of one leader need no comparison among themselves, nor
+    those of leaders that some row follows both.  ``pairs`` holds the other rows, those without a leader above all, once for
+    each pair (lo, hi) of tiles of about ``TILE`` rows that may still hold a link: nothing where all rows of a group follow
+    one leader, and no link is lost.
     """
-    now = stage(spark, rows.select(*by, "fp", *pay, F.lit(None).cast("int").alias("k"), F.array().cast("array<binary>").alias("leads")), name)
+    now = stage(spark, rows.select(*by, "fp", *pay, F.lit(0).cast("long").alias("k"), F.array().cast("array<binary>").alias("leads")), name)
     first = 0
     for n in LEADERS:
-        free = now.filter("k is null").groupBy(*by, F.pmod(F.xxhash64("fp"), F.lit(n)).alias("s")).agg(F.min(F.struct("fp", *pay)).alias("x"))
+        free = now.filter("k = 0").groupBy(*by, F.pmod(F.xxhash64("fp"), F.lit(n)).alias("s")).agg(F.min(F.struct("fp", *pay)).alias("x"))
         leaders = stage(spark, free.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("lead")), name + "-leaders")
         after = stage(spark, now.join(leaders.hint("merge"), by, "left").mapInArrow(lean(_follow(by, pay, first, near)), now.schema), name)
         drop_staged(spark, now, leaders)
         now, first = after, first + n
     edges = now.select(F.col("fp").alias("a"), F.explode("leads").alias("b"))
 
-    # Followers of a leader that are few are as those of none (-1).
-    own = F.coalesce("k", F.lit(-1)).alias("k")
-    sizes = now.groupBy(*by, own).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("c"))
-    alone = lambda c: (c["k"] == -1) | (c["n"] < TILE)
-    rest = F.aggregate(F.filter("c", alone), F.lit(0).cast("long"), lambda s, c: s + c["n"])
-    tiles = lambda n: F.ceil(n / TILE).cast("int").alias("tiles")
-    many = F.transform(F.filter("c", lambda c: ~alone(c)), lambda c: F.struct(c["k"].alias("k"), tiles(c["n"])))
-    sizes = sizes.select(*by, F.concat(F.array(F.struct(F.lit(-1).alias("k"), tiles(rest))), many).alias("c"))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<k:int,first:int,tiles:int>>").alias("out"))
+    # Leaders with a follower in common are one.  Followers that are few are as rows without a leader (-1).
+    sizes = now.groupBy(*by, "k").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("c"))
+    sizes = sizes.withColumn("g", _joined("c.k")).select(*by, F.explode(F.arrays_zip(F.col("c.k").alias("own"), F.col("c.n").alias("n"), F.col("g").alias("k"))).alias("x"))
+    sizes = sizes.select(*by, "x.*").groupBy(*by, "k").agg(F.sum("n").alias("n"), F.collect_list("own").alias("own"))
+    alone = (F.col("k") == 0) | (F.col("n") < TILE)
+    sizes = sizes.groupBy(*by, F.when(alone, -1).otherwise(F.col("k")).alias("k")).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.flatten(F.collect_list("own")).alias("own"))
+    sizes = sizes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "tiles", "own"))).alias("c"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<k:bigint,first:int,tiles:int,own:array<bigint>>>").alias("out"))
     placed = F.aggregate(
         "c",
         start,
-        lambda s, c: F.struct((s["next"] + c["tiles"]).alias("next"), F.concat(s["out"], F.array(F.struct(c["k"].alias("k"), s["next"].alias("first"), c["tiles"].alias("tiles")))).alias("out")),
+        lambda s, c: F.struct((s["next"] + c["tiles"]).alias("next"), F.concat(s["out"], F.array(F.struct(c["k"].alias("k"), s["next"].alias("first"), c["tiles"].alias("tiles"), c["own"].alias("own")))).alias("out")),
         lambda s: s["out"],
     )
     plan = stage(spark, sizes.select(*by, placed.alias("c")), name + "-tiles")
-    pairs = now.select(*by, "fp", *pay, own).join(plan.hint("merge"), by)
-    pairs = pairs.withColumn("k", F.when(F.exists("c", lambda c: c["k"] == F.col("k")), F.col("k")).otherwise(-1))
-    mine = F.get(F.filter("c", lambda c: c["k"] == F.col("k")), F.lit(0))
-    others = F.flatten(F.transform(F.filter("c", lambda c: ((c["k"] != F.col("k")) | (F.col("k") == -1)) & (c["tiles"] > 0)), lambda c: F.sequence(c["first"], c["first"] + c["tiles"] - 1)))
-    pairs = pairs.withColumn("t", mine["first"] + F.pmod(F.xxhash64("fp"), mine["tiles"]).cast("int")).withColumn("o", F.explode(others))
+    pairs = now.select(*by, "fp", *pay, "k").join(plan.hint("merge"), by)
+    mine = F.get(F.filter("c", lambda c: F.array_contains(c["own"], F.col("k"))), F.lit(0))
+    pairs = pairs.withColumn("mine", mine)
+    others = F.flatten(F.transform(F.filter("c", lambda c: (c["k"] != F.col("mine.k")) | (c["k"] == -1)), lambda c: F.sequence(c["first"], c["first"] + c["tiles"] - 1)))
+    pairs = pairs.withColumn("t", F.col("mine.first") + F.pmod(F.xxhash64("fp"), F.col("mine.tiles")).cast("int")).withColumn("o", F.explode(others))
     return edges, pairs.select(*by, "fp", *pay, F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"))
 
 
