@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 
-#: Fields that every document, and every element of its lists, must have.
+# Fields that every document must have, its lists, and the id of the elements of each.
 DOCUMENT_FIELDS = ("doc_id", "source_id", "title")
 LISTS = {"sections": "section_id", "paragraphs": "paragraph_id", "objects": "object_id"}
 

@@ -11,7 +11,7 @@ from lodestone.functions import patterns as P
 from lodestone.functions import text as T
 from lodestone.operators import detect as D
 
-#: Conditions of a claim that must survive, with their place in the evidence.
+# The conditions of a claim that must survive, with their place in the evidence.
 KEPT_CONDITIONS = ("quantity_or_threshold", "spatial", "temporal", "treatment", "comparison")
 
 
