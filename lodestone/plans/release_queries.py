@@ -69,7 +69,7 @@ def provenance_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(R.complete_provenance()).alias("n_complete"), F.count_if(R.has_source()).alias("n_sourced"))
 
 
-@query("extract_metadata", "SELECT doc_id, lang || ' ' || doc_id AS title, CASE WHEN source IS NULL OR source = '' THEN 'Second Name' ELSE source || '|Second Name' END AS authors, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'v' || doc_id END AS version_id FROM documents")
+@query("extract_metadata", "SELECT doc_id, lang || ' ' || doc_id AS title, CASE WHEN source IS NULL OR source = '' THEN 'Second Name' ELSE source || '|Second Name' END AS authors, CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE 'v' || doc_id END AS version_id FROM documents")
 def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, authors and version of semantic records in JSON."""
     name = lambda c: F.struct(c.alias("name"))
@@ -77,7 +77,7 @@ def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.struct(F.concat_ws(" ", "lang", "doc_id").alias("title"), people.alias("contributor"))
     version = F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("v"), F.col("doc_id")))
     d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.struct(content.alias("content"), version.alias("identifier")).alias("record"))).alias("j"))
-    return d.select("doc_id", *R.metadata(F.col("j"))).withColumn("authors", F.array_join("authors", "|"))
+    return d.select("doc_id", *R.metadata(F.col("j"))).withColumn("authors", F.array_join("authors", "|")).withColumn("version_id", F.coalesce("version_id", F.lit("none")))
 
 
 _ITEM = "array<struct<{0}:string,provenance:string>>"
@@ -100,11 +100,11 @@ _BOX = [0.0, 0.0, 1.0, 1.0]
 METRICS = [
     ("a", "s", "flat", "T", None, ["s1", "s2"], [("s1", "raw  one", "raw one", 1, _BOX, "f"), (None, "two", "two", None, None, "f"), ("s2", "meas- ured value", "meas- ured value", 2, None, None)],
      [("figure", "c", None, None, 1, _BOX, "f"), ("table", "", "<t>", None, None, _BOX, "f"), ("formula", None, None, "x^2", 1, None, "f"), ("chart", None, None, None, 3, _BOX, "")], ["u"], '{"nav":2}'),
-    ("b", "s", "paged", "", "abs", [], [], [], [], None),
+    ("b", "s", "paged", "", "abs", [], [], [], [], "{}"),
 ]
 WANTED = [
     ("a", "s", "flat", 1, 0, 2, 3, 27, 26, 2, 0.666667, 1, 1, 1, 1, 1, 1, 0, 1, 1, 2, 1, 3, 3, 2, 7, 1, '{"nav":2}'),
-    ("b", "s", "paged", 0, 1, 0, 0, 0, 0, 0, None, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, None),
+    ("b", "s", "paged", 0, 1, 0, 0, 0, 0, 0, None, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, "{}"),
 ]
 _FIELDS = "doc_id source_id parser_source title_available abstract_available section_count body_paragraph_count body_raw_character_count body_clean_character_count paragraphs_with_section paragraph_section_coverage suspected_word_split_paragraphs figure_count table_count formula_count other_object_count figure_caption_count table_caption_count table_html_count formula_latex_count paragraph_page_count paragraph_bbox_count object_page_count object_bbox_count provenance_count canonical_element_count uncertain_element_count excluded_counts_json".split()
 
@@ -171,19 +171,19 @@ def nearest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREFIX = [("one two three four five six seven eight nine 12", 45, "two three four five six seven eight nine"), ("a b a b a b a b x 1 a b a b a b a b x 1", 18, None), ("9 first", 0, None)]
 
 
-@query("prefix_anchors", f"SELECT * FROM ({_values([(i, r[2]) for i, r in enumerate(PREFIX)])}) AS t(id, anchor)")
+@query("prefix_anchors", f"SELECT id, coalesce(anchor, 'none') AS anchor FROM ({_values([(i, r[2]) for i, r in enumerate(PREFIX)])}) AS t(id, anchor)")
 def prefix_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight words before a span where they occur once."""
     d = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(PREFIX)], "id int, x string, place int")
-    return d.select("id", M.unique_anchor(F.col("x"), F.col("place")).alias("anchor"))
+    return d.select("id", F.coalesce(M.unique_anchor(F.col("x"), F.col("place")), F.lit("none")).alias("anchor"))
 
 
-@query("template_variable", r"""SELECT conv_id, turn, nullif(regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1), '') AS variable,
-  CASE WHEN regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1) <> '' AND role IN ('user', 'assistant', 'system') THEN CASE role WHEN 'user' THEN 'Answer: ' WHEN 'assistant' THEN 'Check: ' ELSE 'Follow: ' END || regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1) END AS instruction FROM conversations""")
+@query("template_variable", r"""SELECT conv_id, turn, regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1) AS variable,
+  CASE WHEN regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1) <> '' AND role IN ('user', 'assistant', 'system') THEN CASE role WHEN 'user' THEN 'Answer: ' WHEN 'assistant' THEN 'Check: ' ELSE 'Follow: ' END || regexp_extract(coalesce(text, ''), '\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})', 1) ELSE 'none' END AS instruction FROM conversations""")
 def template_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variable that a pattern extracts from each turn, and the template filled with it; NULL where there is none."""
+    """The variable that a pattern extracts from each turn, and the template filled with it; ``none`` where there is none."""
     v = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"\b(?:de|of|the|la|der|die|el)\s+([A-Za-z]{3,})", 1), F.lit(""))
-    return table(spark, sf_dir, "conversations").withColumn("variable", v).select("conv_id", "turn", "variable", F.when(F.col("variable").isNotNull(), G.rendered(F.col("role"), F.col("variable"), 0)).alias("instruction"))
+    return table(spark, sf_dir, "conversations").withColumn("variable", v).select("conv_id", "turn", F.coalesce("variable", F.lit("")).alias("variable"), F.coalesce(F.when(F.col("variable").isNotNull(), G.rendered(F.col("role"), F.col("variable"), 0)), F.lit("none")).alias("instruction"))
 
 
 @query("poisson_null_fit", f"""WITH {YIELDS}, m AS (SELECT task, n, tokens, sum(n) OVER (PARTITION BY task) / sum(tokens) OVER (PARTITION BY task) * tokens AS mu, sum(n) OVER (PARTITION BY task) / sum(tokens) OVER (PARTITION BY task) AS r FROM yields WHERE tokens > 0)

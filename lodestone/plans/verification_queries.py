@@ -51,11 +51,12 @@ TERMS = [
 ]
 
 
-@query("verify_terms", f"SELECT id, aligned, variant, counterfactual_pass, machine_verified FROM ({_values([(r[1], *r[7:]) for r in TERMS])}) AS t(id, aligned, variant, counterfactual_pass, machine_verified)")
+@query("verify_terms", f"SELECT id, coalesce(aligned::VARCHAR, 'none') AS aligned, coalesce(variant, 'none') AS variant, coalesce(counterfactual_pass::VARCHAR, 'none') AS counterfactual_pass, machine_verified FROM ({_values([(r[1], *r[7:]) for r in TERMS])}) AS t(id, aligned, variant, counterfactual_pass, machine_verified)")
 def verify_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms with their cyclic counterfactuals, on hand-derived sets."""
     rows = spark.createDataFrame([r[:7] for r in TERMS], "set_id int, id string, explicit boolean, term string, definition string, text string, hard boolean")
-    return V.verify_terms(rows).select("id", "aligned", "variant", "counterfactual_pass", "machine_verified")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in ("aligned", "variant", "counterfactual_pass")]
+    return V.verify_terms(rows).select("id", *said, "machine_verified")
 
 
 CLAIMS = [
@@ -74,11 +75,11 @@ def _claims(spark: SparkSession) -> DataFrame:
     return D.detect_claims(rows).withColumn("conditions", F.when(F.col("doc_id") == "c4", moved).otherwise(F.col("conditions")))
 
 
-@query("verify_claims", "SELECT * FROM (VALUES ('c1', 2, 2, NULL, true), ('c2', 2, 2, NULL, false), ('c3', 0, 0, NULL, true), ('c4', 2, 0, 'condition_not_preserved', false)) AS t(doc_id, n_spans, n_kept, claim_reject, machine_verified)")
+@query("verify_claims", "SELECT * FROM (VALUES ('c1', 2, 2, 'none', true), ('c2', 2, 2, 'none', false), ('c3', 0, 0, 'none', true), ('c4', 2, 0, 'condition_not_preserved', false)) AS t(doc_id, n_spans, n_kept, claim_reject, machine_verified)")
 def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims with a given entailment score: the second is not entailed, the fourth lost its spans."""
     score = F.when(F.col("doc_id") == "c2", 0.2).otherwise(0.9)
-    return V.verify_claims(_claims(spark), score, 0.5).select("doc_id", "n_spans", "n_kept", "claim_reject", "machine_verified")
+    return V.verify_claims(_claims(spark), score, 0.5).select("doc_id", "n_spans", "n_kept", F.coalesce("claim_reject", F.lit("none")).alias("claim_reject"), "machine_verified")
 
 
 @query("claim_integrity", f"""SELECT c AS "check", n, p AS passed, {R6.format('p / n')} AS rate FROM (VALUES ('exact_evidence_span', 4, 4), ('negation', 1, 1), ('uncertainty', 1, 1), ('condition_spans', 6, 4), ('claims_with_conditions', 3, 2)) AS t(c, n, p)""")
@@ -121,12 +122,12 @@ DETECTED = [
 ]
 
 
-@query("detect_fixture", f"SELECT * FROM ({_values(DETECTED)}) AS t(task, report_task, doc_id, position, reject)")
+@query("detect_fixture", f"SELECT task, report_task, doc_id, position, coalesce(reject, 'none') AS reject FROM ({_values(DETECTED)}) AS t(task, report_task, doc_id, position, reject)")
 def detect_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three detectors over their hand-derived paragraphs."""
     ship(spark)
     rows = spark.createDataFrame([(d, p, s, True, t) for d, p, s, t in FIXTURE], "doc_id string, position long, section string, provenance_ok boolean, text string")
-    return V.detect_all(rows).select("task", "report_task", "doc_id", "position", "reject")
+    return V.detect_all(rows).select("task", "report_task", "doc_id", "position", F.coalesce("reject", F.lit("none")).alias("reject"))
 
 
 SIGNATURES = [
