@@ -23,11 +23,11 @@ from lodestone.llm import words as W
 from lodestone.llm.common import in_bytes, lean, utf8
 
 SAMPLES, ALPHA = 2, 0.25
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 BYTE_0 = 3
 NONE, PREFIX = -1, -2
 #: A worker forgets its word lattices when they have more nodes than this.
-NODES_MAX = 2_000_000
+NODES_MAX = 3_000_000
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
